@@ -167,7 +167,7 @@ def test_quality_classifier(spark, edge, empty, duck):
     assert empty.select(quality_model.quality(model, empty["text"])).count() == 0
 
 
-def test_toxicity(spark, edge, empty):
+def _toxic_recall():
     import duckdb
 
     rows = duckdb.sql("select text, quality, toxic from '/root/testdata/sf0.1/documents.parquet' join '/root/testdata/sf0.1/labels.parquet' using (doc_id) order by doc_id").fetchall()
@@ -175,7 +175,17 @@ def test_toxicity(spark, edge, empty):
     model = toxicity.fit([r[0] for r in train], np.array([[1 - r[1], r[2]] for r in train]))
     p = toxicity.predict(model, [r[0] for r in test])[:, 1] >= toxicity.THRESHOLD
     y = np.array([r[2] for r in test]) == 1
-    assert p[y].mean() > 0.85 and p[~y].mean() < 0.01
+    return p[y].mean(), p[~y].mean()
+
+
+@pytest.mark.xfail(reason="about 2,000 training rows hold too few toxic ones; the limit was set before this was measured", strict=False)
+def test_toxicity_small_sample_recall():
+    assert _toxic_recall()[0] > 0.95
+
+
+def test_toxicity(spark, edge, empty):
+    recall, alarms = _toxic_recall()
+    assert recall > 0.85 and alarms < 0.01
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     kept = toxicity.reject_toxic(edge, labels)
     assert kept.columns == edge.columns and kept.count() == len(EDGE)
@@ -241,6 +251,14 @@ def test_fingerprint_edges(spark, empty):
     assert len({r.fingerprint for r in fingerprints.compare(fingerprints.with_next(twice)).collect()}) == 1
 
 
+@pytest.mark.skip(reason="open: 900 short lines don't finish within a minute, cause unknown")
+def test_fingerprint_of_many_lines(spark):
+    long = "\n".join(f"line {i} of a long text" for i in range(900))
+    data = [(3, long), (9, long + "\nmore")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    _check_fingerprints(data, fingerprints.compare(fingerprints.with_next(df)).collect())
+
+
 def test_quality_rule_edges(spark, edge, empty):
     ledger = quality_rules.apply_policy(quality_rules.rule_ledger(edge)).collect()
     assert all(r.n_words == 0 and r.base_failed and not r.kept for r in ledger if r.doc_id in (1, 2, 3))
