@@ -259,6 +259,30 @@ def test_fingerprint_of_many_lines(spark):
     _check_fingerprints(data, fingerprints.compare(fingerprints.with_next(df)).collect())
 
 
+def _shingle_jaccard(a, b):
+    """Likeness by all runs of three words, which knows nothing of the operator's cuts."""
+    runs = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)}
+    return _jaccard(runs(a), runs(b))
+
+
+def test_pieces_follow_a_likeness_without_cuts(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    lines = [" ".join(f"w{j}" for j in rng.integers(0, 10**6, n)) for n in (40, 60, 90, 130, 400, 1500)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    for r in fingerprints.compare(fingerprints.with_next(df)).collect():
+        text, nxt = lines[r.doc_id], lines[(r.doc_id + 1) % len(lines)]
+        edited = text[: len(text) - len(text) // 2] + nxt[: len(text) // 2]
+        assert abs(r.near_edited_pieces - _shingle_jaccard(text, edited)) < 0.2 and r.near_edited_pieces > 0
+        assert r.near_next_pieces == _shingle_jaccard(text, nxt) == 0
+    hexes = "".join(f"{j:08x}" for j in rng.integers(0, 2**32, 300))
+    pairs = [(lines[5], "an insertion at the start " + lines[5]), (lines[4], lines[4][:900] + " some more words " + lines[4][900:]), (hexes, "abc" + hexes)]
+    both = spark.createDataFrame(pairs, "x string, y string").select(fingerprints.pieces(F.col("x")).alias("a"), fingerprints.pieces(F.col("y")).alias("b"))
+    both = both.selectExpr("*", "size(a) + size(b) as n").withColumn("d", fingerprints.apart("a", "b"))
+    assert all(1 - 2 * r.d / (r.n + r.d) > 0.8 for r in both.collect())
+
+
 def test_quality_rule_edges(spark, edge, empty):
     ledger = quality_rules.apply_policy(quality_rules.rule_ledger(edge)).collect()
     assert all(r.n_words == 0 and r.base_failed and not r.kept for r in ledger if r.doc_id in (1, 2, 3))

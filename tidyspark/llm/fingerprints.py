@@ -8,6 +8,12 @@ hash over as many sub-sketches as their number asks for, each with new positions
 difference of d digests costs about d / 8 sketches, whatever the document's length, and the published fingerprint stays
 of one size.
 
+Paragraphs alone tell little about long lines: a line changed in its second half shares few or no 512 cuts with the old one,
+and an insertion shifts all later cuts.  So texts are also compared by content-defined pieces: a text is cut after the words
+(with the space behind them) whose hash is 0 modulo 4, and inside words of over 64 code points after the
+characters whose hash with the two before them is 0 modulo 32, so a change moves only the cuts beside it.  Pieces are
+about four words long, and too many for sketches (see ``apart``), so their digests are compared as sets; a text whose unchanged part holds no whole piece still has likeness 0.
+
 The next document of each document needs the order of all ids.  Ids are cut into ranges of about 256, each sorted by
 itself; only the first text of a range goes to the range before it, so texts are shuffled once.
 
@@ -25,6 +31,8 @@ from .common import checkpoint, col, read
 
 #: Code points of a line that make a paragraph of their own.
 PARAGRAPH_CHARS = 512
+#: One word in so many ends a piece; one character in so many does in words of more code points than the last.
+PIECE_WORDS, PIECE_CHARS, LONG_WORD = 4, 32, 64
 #: Rounds of peeling at one size, retries at larger sizes, digests aimed at per sub-sketch in a retry.
 ROUNDS, RETRIES, GROUP = 8, 10, 8
 _CHECK = "xxhash64({}, 7)"
@@ -37,6 +45,15 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(lines, blocks)))
 
 
+def pieces(text: Column) -> Column:
+    """Distinct 64-bit digests of the content-defined pieces."""
+    ends = lambda n, part, *context: F.when(F.pmod(F.xxhash64(part, *context), F.lit(n)) == 0, F.concat(part, F.lit("\n"))).otherwise(part)
+    within = lambda cs: F.array_join(F.transform(cs, lambda c, i: ends(PIECE_CHARS, c, F.get(cs, i - 1), F.get(cs, i - 2))), "")
+    inside = lambda word: F.get(F.transform(F.array(F.split(word, "")), within), 0)
+    words = F.transform(F.split(text, r"(?<=[ \n])"), lambda w: F.when(F.char_length(w) > LONG_WORD, ends(PIECE_WORDS, inside(w), w)).otherwise(ends(PIECE_WORDS, w)))
+    return F.array_distinct(F.transform(F.array_remove(F.split(F.array_join(words, ""), "\n"), ""), lambda p: F.xxhash64(p)))
+
+
 def _bits(level: str) -> str:
     """Where the three tables' positions begin in a digest; each retry reads other bits."""
     return f"array(int(9 * ({level} % 5)), int(9 * ({level} % 5) + 3), int(9 * ({level} % 5) + 6))"
@@ -82,6 +99,11 @@ def difference(a: str, b: str, a_cells: str, b_cells: str) -> Column:
     )
 
 
+def apart(a: str, b: str) -> Column:
+    """``difference`` by set operations, linear in the number of digests: texts have many more pieces than paragraphs."""
+    return F.size(a) + F.size(b) - 2 * F.size(F.array_intersect(a, b))
+
+
 def likeness(na: Column, nb: Column, diff: Column) -> Column:
     """Jaccard similarity from the sizes of two sets and of their difference."""
     return F.when(na + nb == 0, F.lit(1.0)).otherwise((na + nb - diff) / (na + nb + diff))
@@ -118,16 +140,18 @@ def with_next(docs: DataFrame) -> DataFrame:
 def compare(pairs: DataFrame) -> DataFrame:
     """The rows of ``with_next``: fingerprints and likenesses of each text, its edited text and the next text.
 
+    ``near_edited`` and ``near_next`` go by paragraphs, ``near_edited_pieces`` and ``near_next_pieces`` by pieces.
+
     The edited text has its last floor(n / 2) code points replaced by the first as many of the next text.
     """
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    df = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"), "a", "b")
-    df = df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("edited")).alias("e"), "a", "b")
+    df = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"), "a", "b", "next_text")
+    df = df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("edited")).alias("e"), "a", "b", *(pieces(F.col(t)).alias(k) for t, k in (("text", "pa"), ("edited", "pe"), ("next_text", "pb"))))
     df = df.withColumns({f"s{k}": cells(k) for k in "aeb"})
-    df = df.withColumns({"de": difference("a", "e", "sa", "se"), "db": difference("a", "b", "sa", "sb")})
+    df = df.withColumns({"de": difference("a", "e", "sa", "se"), "db": difference("a", "b", "sa", "sb"), "dpe": apart("pa", "pe"), "dpb": apart("pa", "pb")})
     size = lambda k: F.size(k).cast("double")
-    return df.select("doc_id", "n_chars", "edited_sha256", as_text("sa").alias("fingerprint"), as_text("se").alias("edited_fingerprint"), likeness(size("a"), size("e"), F.col("de")).alias("near_edited"), likeness(size("a"), size("b"), F.col("db")).alias("near_next"))
+    return df.select("doc_id", "n_chars", "edited_sha256", as_text("sa").alias("fingerprint"), as_text("se").alias("edited_fingerprint"), likeness(size("a"), size("e"), F.col("de")).alias("near_edited"), likeness(size("a"), size("b"), F.col("db")).alias("near_next"), likeness(size("pa"), size("pe"), F.col("dpe")).alias("near_edited_pieces"), likeness(size("pa"), size("pb"), F.col("dpb")).alias("near_next_pieces"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
