@@ -346,6 +346,14 @@ def test_near_duplicate_edges(spark, edge, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_one_document_a_class_whatever_the_ids(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcdef"]
+    data = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[4]), (None, texts[4]), (None, texts[5]), (9, None), (None, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in neardup.keep_one(df).collect()), key=str)
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (None, texts[5]), (9, None)], key=str)
+
+
 def test_full_buckets_lose_nothing(spark):
     """More near copies of one text than a bucket has anchors, each differing from the others."""
     rng = np.random.default_rng(0)
