@@ -347,6 +347,12 @@ def join_na_keys(orders):
     return t.inner_join(keyed >> t.filter_(f.o_orderkey < 200) >> t.select(f.o_orderkey, f.s), keyed >> t.filter_(f.o_orderkey < 100) >> t.select(f.o_custkey, f.s), by="s") >> t.select(f.o_orderkey, f.o_custkey)
 
 
+@query("select a.o_orderkey, b.n from (select o_orderkey, nullif(o_orderstatus, 'P') as s from orders) a join (select nullif(o_orderstatus, 'P') as s, count(*) as n from orders group by all) b on a.s is not distinct from b.s")
+def join_na_keys_whole(orders):
+    keyed = orders >> t.mutate(s=t.na_if(f.o_orderstatus, "P"))
+    return t.inner_join(keyed >> t.select(f.o_orderkey, f.s), keyed >> t.count(f.s), by="s") >> t.select(f.o_orderkey, f.n)
+
+
 # ---- sets and rows ----
 
 _A, _B = "(select c_nationkey, c_mktsegment from customer where c_custkey % 2 = 0)", "(select c_nationkey, c_mktsegment from customer where c_custkey % 3 = 0)"
