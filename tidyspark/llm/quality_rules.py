@@ -14,12 +14,12 @@ input are ignored by the ledger and kept by ``keep_by_policy``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, col, free_name, read, words_of
+from .common import SPACE_CHARS, col, read, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Rules by bit; a rule's bit never changes, so ledgers stay readable when rules are added.
@@ -40,67 +40,86 @@ def mask(rules: Sequence[str]) -> int:
     return sum(1 << RULES.index(r) for r in set(rules))
 
 
-def _removed(text: Column, chars: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, wherever the optimiser moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _repeat_words(words: Column) -> Column:
     """Words covered by a 3-word window that occurs at least twice in the text."""
-    n = F.size(words)
-    grams = F.when(n >= 3, F.transform(F.arrays_zip(F.slice(words, 1, n - 2).alias("a"), F.slice(words, 2, n - 2).alias("b"), F.slice(words, 3, n - 2).alias("c")), lambda z: F.xxhash64(z["a"], z["b"], z["c"]))).otherwise(F.array().cast("array<bigint>"))
-    return grams
-
-
-_REPEATS = """
-case when size({g}) = size(array_distinct({g})) then 0L else
-aggregate(
-  array_sort(filter(transform({s}, (x, i) ->
-      if((i > 0 and {s}[i - 1].h = x.h) or (i + 1 < size({s}) and {s}[i + 1].h = x.h), x.p, -1)), p -> p >= 0)),
-  named_struct('n', 0L, 'end', -1),
-  (acc, p) -> named_struct('n', acc.n + p + 3 - greatest(p, acc.end), 'end', p + 3),
-  acc -> acc.n) end
-"""
+    windows = F.when(F.size(words) >= 3, F.transform(F.slice(words, 1, F.size(words) - 2), lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<bigint>"))
+
+    def covered(s: Column) -> Column:
+        """``s``: (hash, position) of every window, sorted; a repeated one has a neighbour of its hash."""
+        same = lambda i, x: F.coalesce(F.get(s, i).getField("h") == x["h"], F.lit(False))
+        at = F.sort_array(F.filter(F.transform(s, lambda x, i: F.when(same(i - 1, x) | same(i + 1, x), x["p"]).otherwise(F.lit(-1))), lambda p: p >= 0))
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("end"))
+        return F.aggregate(at, start, lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n"), (p + 3).alias("end")), lambda a: a["n"])
+
+    # sorted only where some window repeats
+    return _bind(windows, lambda g: F.when(F.size(g) == F.size(F.array_distinct(g)), F.lit(0).cast("long")).otherwise(_bind(F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("p")))), covered)))
+
+
+def _measured(text: Column) -> Column:
+    """Struct of the measurements of a text; the text is split into words once and into lines once."""
+    count = lambda x: x.cast("long")
+    letters = F.char_length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    of_lines = lambda lines: F.struct(F.size(lines).alias("n"), (F.size(lines) - F.size(F.array_distinct(lines))).alias("dup"))
+    of_words = lambda w: F.struct(F.size(w).alias("n"), F.char_length(F.array_join(w, "")).alias("chars"), _repeat_words(w).alias("repeat"))
+    lines = _bind(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""), of_lines)
+    both = F.struct(_bind(words_of(text), of_words).alias("w"), lines.alias("l"))
+    return _bind(
+        both,
+        lambda b: F.struct(
+            count(b["w"]["n"]).alias("n_words"),
+            count(b["w"]["chars"]).alias("word_chars"),
+            count(F.regexp_count(text, F.lit(f"[{SYMBOLS}]"))).alias("n_symbols"),
+            count(b["l"]["dup"]).alias("n_dup_lines"),
+            b["w"]["repeat"].alias("n_repeat_words"),
+            count(b["l"]["n"]).alias("n_lines"),
+            count(F.regexp_count(text, F.lit("[A-Z]"))).alias("n_capitals"),
+            count(letters).alias("n_letters"),
+        ),
+    )
 
 
-def measures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and the measurements of each document."""
-    t = F.coalesce(col(text), F.lit(""))
-    df = docs.select(col(doc_id).alias("doc_id"), t.alias("t"))
-    df = df.select("doc_id", "t", words_of(F.col("t")).alias("w"))
-    df = df.select("doc_id", "t", "w", _repeat_words(F.col("w")).alias("g"), F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "").alias("lines"))
-    # sorted (hash, position) pairs, only where some window repeats
-    df = df.withColumn("s", F.when(F.size("g") != F.size(F.array_distinct("g")), F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
-    letters = F.char_length(F.regexp_replace("t", r"[^\p{L}]+", ""))
-    return df.select(
-        "doc_id",
-        F.size("w").cast("long").alias("n_words"),
-        F.char_length(F.translate("t", SPACE_CHARS, "")).cast("long").alias("word_chars"),
-        _removed(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(_REPEATS.format(g="g", s="s")).alias("n_repeat_words"),
-        F.size("lines").cast("long").alias("n_lines"),
-        _removed(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"),
-        letters.cast("long").alias("n_letters"),
-    )
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters")
 
 
-def rule_ledger(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Measurements and ``failed_bits`` (bit i: rule RULES[i] fails)."""
-    m = measures(docs, text, doc_id)
-    c = F.col
+def _failed_bits(m: Column) -> Column:
     fails = {
-        "few_words": c("n_words") < 50,
-        "repeated_words": 100 * c("n_repeat_words") > 50 * c("n_words"),
-        "symbols": 100 * c("n_symbols") > SYMBOLS_PER_100 * c("n_words"),
-        "duplicate_lines": 100 * c("n_dup_lines") > DUP_LINES_PER_100 * c("n_lines"),
-        "word_length": (10 * c("word_chars") < CHARS_PER_10[0] * c("n_words")) | (10 * c("word_chars") > CHARS_PER_10[1] * c("n_words")),
-        "capitals": 100 * c("n_capitals") > CAPITALS_PER_100 * c("n_letters"),
-        "letters": 100 * c("n_letters") < LETTERS_PER_100 * c("word_chars"),
+        "few_words": m["n_words"] < 50,
+        "repeated_words": 100 * m["n_repeat_words"] > 50 * m["n_words"],
+        "symbols": 100 * m["n_symbols"] > SYMBOLS_PER_100 * m["n_words"],
+        "duplicate_lines": 100 * m["n_dup_lines"] > DUP_LINES_PER_100 * m["n_lines"],
+        "word_length": (10 * m["word_chars"] < CHARS_PER_10[0] * m["n_words"]) | (10 * m["word_chars"] > CHARS_PER_10[1] * m["n_words"]),
+        "capitals": 100 * m["n_capitals"] > CAPITALS_PER_100 * m["n_letters"],
+        "letters": 100 * m["n_letters"] < LETTERS_PER_100 * m["word_chars"],
     }
     bits = F.lit(0)
     for i, rule in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(fails[rule], F.lit(1 << i)).otherwise(F.lit(0)))
-    return m.withColumn("failed_bits", bits)
+    return bits
+
+
+def ledger_of(text: Column) -> Column:
+    """Struct of a text's measurements and ``failed_bits`` (bit i: rule RULES[i] fails).
+
+    One expression in which every costly part is bound once, so a filter on it, which the optimiser copies below other
+    columns, doesn't multiply the work.
+    """
+    full = _bind(F.coalesce(text, F.lit("")), _measured)
+    return _bind(full, lambda m: F.struct(*(m[c].alias(c) for c in MEASURES), _failed_bits(m).alias("failed_bits")))
+
+
+def measures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and the measurements of each document."""
+    return rule_ledger(docs, text, doc_id).drop("failed_bits")
+
+
+def rule_ledger(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, measurements and ``failed_bits``."""
+    return docs.select(col(doc_id).alias("doc_id"), ledger_of(col(text)).alias("ledger")).select("doc_id", "ledger.*")
 
 
 def apply_policy(ledger: DataFrame, policy: str = CURRENT, policies: Mapping[str, Sequence[str]] = POLICIES) -> DataFrame:
@@ -128,12 +147,10 @@ def ablations(ledger: DataFrame, policy: str = CURRENT, policies: Mapping[str, S
     )
 
 
-def keep_by_policy(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
-    """The documents a policy keeps, with all their columns (the ledger is made in the same pass)."""
-    key = free_name(docs, "ledger_row")
-    packed = docs.select(F.struct(*(col(c) for c in docs.columns)).alias(key), col(text).alias("text"))
-    judged = apply_policy(rule_ledger(packed, "text", key), policy)
-    return judged.filter("kept").select(*(F.col("doc_id").getField(c).alias(c) for c in docs.columns))
+def keep_by_policy(docs: DataFrame, policy: str = CURRENT, text: str = "text", policies: Mapping[str, Sequence[str]] = POLICIES) -> DataFrame:
+    """The documents a policy keeps, with all their columns, in the same pass."""
+    rejecting = mask(policies["base"]) | mask(policies[policy])
+    return docs.filter(ledger_of(col(text).cast("string"))["failed_bits"].bitwiseAND(F.lit(rejecting)) == 0)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
