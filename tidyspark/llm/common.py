@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,13 +21,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where the session names none (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or the checkpoint folder the session was given."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held
-        path = f"file://{tempfile.mkdtemp(prefix='tidyspark-')}"
+        # executors on other machines could not read a folder of the driver's
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -44,6 +44,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Shelf:
+    """Tables written as Parquet to the shared folder, which cuts lineage; unlike a checkpoint, a table read back brings
+    its true size to the planner and none of the constraints of the plan that made it, which pile up in loops."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, new_folder(spark, name), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.root}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
+
+    def clear(self) -> None:
+        """Deletes the tables; nothing read from them may be used any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a variant that no column has (names compare without case)."""
     taken = {c.lower() for c in df.columns}
@@ -85,18 +103,24 @@ def bounded_sample(df: DataFrame, label: str, per_class: int, keys: list[str]) -
     return df.withColumn(h, spread).filter(col(h) < share).withColumn(k, F.row_number().over(w)).filter(col(k) <= int(1.25 * per_class + 100)).drop(h, k)
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, weight: str, heavy_rows: int = 1000) -> DataFrame:
+#: A table of at most so many narrow rows is broadcast; a larger one is joined by shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, weight: str, heavy_rows: int = 1000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``left`` LEFT JOIN ``right`` on ``keys``, where few keys may hold much of ``left``.
 
     ``right`` has one row a key and the key's number of rows in ``left`` in column
-    ``weight``.  A key with more than 1/heavy_rows of all of them is heavy; by the
-    pigeonhole principle there are fewer than ``heavy_rows`` such keys at any size
-    of the input, so they are broadcast, and heavy rows of ``left`` go to partitions
-    by ``spread`` instead of their key.  Key columns must not be null.  ``weight`` isn't returned.
+    ``weight``.  Up to ``broadcast_rows`` rows, all of ``right`` is broadcast.  Beyond, a key with more than
+    1/heavy_rows of all rows is heavy; by the pigeonhole principle there are fewer than ``heavy_rows`` such keys at any
+    size of the input, so they are broadcast, and heavy rows of ``left`` go to partitions by ``spread`` instead of their
+    key.  Key columns must not be null.  ``weight`` isn't returned.
     """
+    total, n = right.agg(F.sum(weight), F.count(F.lit(1))).first()
+    if n <= broadcast_rows:
+        return left.join(F.broadcast(right.drop(weight)), keys, "left")
     values = [c for c in right.columns if c not in keys and c != weight]
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    limit = max(1, total // heavy_rows)
+    limit = max(1, (total or 0) // heavy_rows)
     heavy = right.filter(col(weight) > limit)
     hot = F.broadcast(heavy.select(*keys, F.struct(*(col(v) for v in values)).alias("_hot")))
     rest = right.filter(col(weight) <= limit).select(*keys, F.struct(*(col(v) for v in values)).alias("_cold"), F.lit(-1).alias("_salt"))
