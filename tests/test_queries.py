@@ -20,7 +20,7 @@ def test_same_as_sql(spark, duck, name):
 
 def test_null_keys_join_the_whole_table(spark, duck):
     nulls = [r[0] for r in duck.execute("select o_orderkey from orders where o_orderstatus = 'P'").fetchall()]
-    got = dict(map(tuple, QUERIES["join_na_keys_whole"](spark, SF).select("o_orderkey", "n").collect()))
+    got = dict(map(tuple, QUERIES["join_na_keys"](spark, SF).select("o_orderkey", "n").collect()))
     assert nulls and {got[k] for k in nulls} == {len(nulls)}
     assert len(got) == duck.execute("select count(*) from orders").fetchone()[0]
 

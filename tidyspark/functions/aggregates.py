@@ -196,11 +196,64 @@ def _key(ctx, order_by=None):
 
 
 def _order_struct(ctx):
+    from pyspark.sql import Window
+
     from ..plans.tbl import ORDINAL, quoted
 
-    if ctx.tbl.order or ORDINAL not in ctx.tbl.df.columns:
-        raise ValueError("give order_by=, or attach a row order")
-    return quoted(ORDINAL)
+    if not ctx.tbl.order:
+        return quoted(ORDINAL)
+    # an arranged table: each row's place in its group
+    name, groups = ctx.name("o"), [quoted(g) for g in ctx.tbl.groups] or [F.lit(0)]
+    ctx.tbl = ctx.tbl.with_df(ctx.tbl.df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*ctx.tbl.order_columns()))))
+    return quoted(name)
+
+
+def _position(ctx, order_by=None) -> tuple[Column, Column]:
+    """0-based place of each row in its group, and the group's size, as columns added to the table."""
+    from pyspark.sql import Window
+
+    from ..plans.tbl import quoted
+
+    key = _key(ctx, order_by)
+    groups = [quoted(g) for g in ctx.tbl.groups] or [F.lit(0)]
+    at, size = ctx.name("at"), ctx.name("size")
+    df = ctx.tbl.df.withColumn(at, F.row_number().over(Window.partitionBy(*groups).orderBy(key)) - 1)
+    ctx.tbl = ctx.tbl.with_df(df.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*groups))))
+    return quoted(at), quoted(size)
+
+
+def _in_order(ctx, x: Column, order_by=None) -> Column:
+    """A group's values as an array, in row order."""
+    return F.transform(F.array_sort(over(ctx).collect_list(F.struct(_key(ctx, order_by).alias("o"), x.alias("v")))), lambda s: s["v"])
+
+
+@function("agg", array=_row(F.array_distinct))
+def unique(ctx, x, order_by=None):
+    """A group's distinct values, missing included, in order of their first row, as an array."""
+    return F.array_distinct(_in_order(ctx, x, order_by))
+
+
+@function("agg")
+def order(ctx, x, decreasing=False, order_by=None):
+    """0-based positions that would sort a group's values; ties by row order, missing last; an array."""
+    items = F.transform(_in_order(ctx, x, order_by), lambda v, i: F.struct(v.isNull().alias("none"), v.alias("v"), i.alias("i")))
+    if not decreasing:
+        return F.transform(F.array_sort(items), lambda s: s["i"])
+    by_value = F.sort_array(F.filter(F.transform(items, lambda s: F.struct(s["v"], (-s["i"]).alias("i"))), lambda s: s["v"].isNotNull()), asc=False)
+    return F.concat(F.transform(by_value, lambda s: -s["i"]), F.transform(F.filter(items, lambda s: s["none"]), lambda s: s["i"]))
+
+
+@function("agg")
+def sample(ctx, x, size=None, replace=False):
+    """A group's values in random order, or ``size`` of them, as an array."""
+    a = over(ctx).collect_list(F.struct(x.alias("v")))
+    if replace:
+        from .math import _draw
+
+        draws = F.transform(F.sequence(F.lit(1), F.size(a) if size is None else F.lit(size)), lambda i: F.get(a, F.pmod(F.xxhash64(i, F.lit(_draw())), F.size(a)).cast("int")))
+        return F.transform(draws, lambda s: s["v"])
+    out = F.transform(F.shuffle(a), lambda s: s["v"])
+    return out if size is None else F.slice(out, 1, size)
 
 
 @function("agg")
@@ -218,10 +271,10 @@ def last(ctx, x, order_by=None, default=None):
 @function("agg")
 def nth(ctx, x, n, order_by=None, default=None):
     """From 0; negative from the end."""
-    items = F.array_sort(over(ctx).collect_list(F.struct(_key(ctx, order_by).alias("o"), x.alias("v"))))
-    at = F.when(n < 0, F.size(items) + n).otherwise(n).cast("int")
-    out = F.get(items, at)["v"]
-    return out if default is None else F.when((at >= 0) & (at < F.size(items)), out).otherwise(F.lit(default))
+    at, size = _position(ctx, order_by)
+    here = at == F.when(n < 0, size + n).otherwise(n)
+    out = over(ctx).max(F.when(here, F.struct(x.alias("v"))))["v"]
+    return out if default is None else F.when(over(ctx).bool_or(here), out).otherwise(F.lit(default))
 
 
 @function("agg")
@@ -236,9 +289,10 @@ def which_min(ctx, x, order_by=None):
 
 
 def _which(ctx, x, order_by, sign):
-    items = F.array_sort(over(ctx).collect_list(F.struct(_key(ctx, order_by).alias("o"), x.alias("v"))))
-    best = (F.array_min if sign > 0 else F.array_max)(F.transform(items, lambda s: s["v"]))
-    return F.array_position(F.transform(items, lambda s: s["v"]), best) - 1
+    at, _ = _position(ctx, order_by)
+    if sign > 0:
+        return over(ctx).min_by(at, F.when(x.isNotNull(), F.struct(x, at)))
+    return over(ctx).max_by(at, F.when(x.isNotNull(), F.struct(x, -at)))
 
 
 @function("agg")
@@ -248,6 +302,12 @@ def which(ctx, x, order_by=None):
     return F.filter(F.transform(items, lambda s, i: F.when(s["v"], i)), lambda v: v.isNotNull())
 
 
+@function("agg")
+def _grep_values(ctx, x, hit, order_by=None):
+    items = _in_order(ctx, F.when(hit, F.struct(x.alias("x"))), order_by)
+    return F.transform(F.filter(items, lambda s: s.isNotNull()), lambda s: s["x"])
+
+
 def scale(x, center=True, scale=True):
     """(x - mean) / sd with divisor n - 1; per group."""
     x = wrap(x)

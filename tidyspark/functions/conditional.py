@@ -159,6 +159,22 @@ def itemgetter(ctx, x, index):
     return F.get(a, F.when(at < 0, F.size(a) + at).otherwise(at).cast("int"))
 
 
+@function(raw=True)
+def append(ctx, x, values, after=None):
+    """An array with ``values`` put behind 0-based position ``after``; None: behind the last, -1: before the first."""
+    of = lambda v: F.array(*map(F.lit, v)) if isinstance(v, (list, tuple)) else ctx.bind(v)
+    a, more = of(x), of(values)
+    if not isinstance(values, (list, tuple)) and not ctx.tbl.df.select(more.alias("x")).schema["x"].dataType.typeName() == "array":
+        more = F.array(more)
+    if after is None:
+        return F.concat(a, more)
+    return F.concat(F.slice(a, 1, after + 1), more, F.slice(a, F.lit(after + 2), F.greatest(F.size(a) - after - 1, F.lit(0))))
+
+
+def identity(x):
+    return x
+
+
 @function(raw=True)
 def c_(ctx, *xs):
     return F.flatten(F.array(*(F.array(*map(F.lit, x)) if isinstance(x, (list, tuple)) else F.array(ctx.bind(x)) for x in xs)))

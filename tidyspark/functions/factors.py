@@ -14,6 +14,18 @@ from ..plans.expr import Ref, function, wrap
 from ..plans.tbl import Fct
 
 
+#: Levels a factor may have; they are kept on the driver and in the plan.
+MAX_LEVELS = 100_000
+
+
+def bounded(df) -> list:
+    """The rows of a table of levels; more than MAX_LEVELS are an error, not a driver out of memory."""
+    rows = df.limit(MAX_LEVELS + 1).collect()
+    if len(rows) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} levels: not a factor")
+    return rows
+
+
 def get(ctx, x) -> Fct:
     """Bind as a factor; other columns get sorted distinct values as levels."""
     x = wrap(x)
@@ -24,13 +36,13 @@ def get(ctx, x) -> Fct:
     out = x.bind(ctx)
     if isinstance(out, Fct):
         return out
-    values = [r[0] for r in ctx.tbl.df.select(out.alias("x")).distinct().collect() if r[0] is not None]
+    values = [r[0] for r in bounded(ctx.tbl.df.select(out.alias("x")).distinct()) if r[0] is not None]
     return Fct(out, sorted(values))
 
 
 def _counts(ctx, fc: Fct, w=None) -> dict:
     agg = F.count(F.lit(1)) if w is None else F.sum(ctx.bind(w))
-    return {r[0]: r[1] for r in ctx.tbl.df.groupBy(fc.col.alias("x")).agg(agg.alias("n")).collect()}
+    return {r[0]: r[1] for r in bounded(ctx.tbl.df.groupBy(fc.col.alias("x")).agg(agg.alias("n")))}
 
 
 def _mapped(fc: Fct, table: dict, levels: list | None = None) -> Fct:
@@ -101,7 +113,7 @@ def _inorder(levels, ctx, fc, ordered=None):
     from ..plans.tbl import ORDINAL, quoted
 
     df = tbl.df if ORDINAL in tbl.df.columns else tbl.df.withColumn(ORDINAL, F.monotonically_increasing_id())
-    at = {r[0]: r[1] for r in df.groupBy(fc.col.alias("x")).agg(F.min(quoted(ORDINAL)).alias("o")).collect()}
+    at = {r[0]: r[1] for r in bounded(df.groupBy(fc.col.alias("x")).agg(F.min(quoted(ORDINAL)).alias("o")))}
     return sorted(levels, key=lambda v: (at.get(v, float("inf")), levels.index(v)))
 
 
@@ -307,11 +319,40 @@ def fct_cross(ctx, *xs, sep=":", keep_empty=False):
     for i, fc in enumerate(fcs):
         levels = [(f"{a}{sep}{b}" if i else str(b)) for b in fc.levels for a in levels]
     if not keep_empty:
-        seen = {r[0] for r in ctx.tbl.df.select(col.alias("x")).distinct().collect()}
+        seen = {r[0] for r in bounded(ctx.tbl.df.select(col.alias("x")).distinct())}
         levels = [v for v in levels if v in seen]
     return Fct(col, levels)
 
 
+def _union(fcs: list[Fct]) -> list:
+    return list(dict.fromkeys(v for fc in fcs for v in fc.levels))
+
+
+@function(raw=True)
+def lvls_union(ctx, *xs):
+    """The levels of several factors, by first appearance, as an array."""
+    return F.array(*map(F.lit, _union([get(ctx, x) for x in xs])))
+
+
+@function(raw=True)
+def fct_c(ctx, *xs):
+    """Several factors' values of a row as one array; its levels (metadata) are the union of theirs."""
+    fcs = [get(ctx, x) for x in xs]
+    return Fct(F.array(*(fc.col for fc in fcs)), _union(fcs))
+
+
+def fct_unify(*xs, levels=None) -> list:
+    """The factors, each with the union of all their levels (or ``levels``)."""
+    return [_unified(x, others=xs, levels=levels) for x in xs]
+
+
+@function(raw=True)
+def _unified(ctx, x, others=(), levels=None):
+    fc = get(ctx, x)
+    all_of = _union([get(ctx, o) for o in others]) if levels is None else list(levels)
+    return Fct(F.when(fc.col.isin(all_of), fc.col), all_of, fc.ordered)
+
+
 def fct_match(x, lvls):
     """Membership; an unknown level is an error."""
     return _match(x, lvls=lvls)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -129,36 +130,52 @@ choose, lchoose = _special("choose", _choose, 2), _special("lchoose", lambda n,
 factorial, lfactorial = _special("factorial", lambda x: _gamma(x + 1)), _special("lfactorial", lambda x: _lgamma(x + 1))
 
 
-def _integral(fn, a, b, n=2000):
-    """Simpson's rule."""
-    h = (b - a) / n
-    return h / 3 * (fn(a) + fn(b) + sum((4 if i % 2 else 2) * fn(a + i * h) for i in range(1, n)))
+def _integral(fn, end: float, n: int = 2000):
+    """Simpson's rule from 0 to ``end``; ``fn`` takes a column of points and gives a row for each."""
+    t = np.linspace(0.0, end, n + 1)[:, None]
+    w = np.full((n + 1, 1), 2.0)
+    w[1::2], w[0], w[-1] = 4.0, 1.0, 1.0
+    return (fn(t) * w).sum(axis=0) * (end / n / 3)
 
 
 def _bessel_j(x, v):
-    out = _integral(lambda t: math.cos(v * t - x * math.sin(t)), 0, math.pi) / math.pi
-    if v != int(v):
-        out -= math.sin(v * math.pi) / math.pi * _integral(lambda t: math.exp(-x * math.sinh(t) - v * t), 0, 12)
-    return out
+    out = _integral(lambda t: np.cos(v * t - x * np.sin(t)), np.pi) / np.pi
+    return out - np.where(v == np.floor(v), 0.0, np.sin(v * np.pi) / np.pi * _integral(lambda t: np.exp(-x * np.sinh(t) - v * t), 12.0))
 
 
 def _bessel_y(x, v):
-    out = _integral(lambda t: math.sin(x * math.sin(t) - v * t), 0, math.pi) / math.pi
-    return out - _integral(lambda t: (math.exp(v * t) + math.exp(-v * t) * math.cos(v * math.pi)) * math.exp(-x * math.sinh(t)), 0, 12) / math.pi
+    out = _integral(lambda t: np.sin(x * np.sin(t) - v * t), np.pi) / np.pi
+    return out - _integral(lambda t: (np.exp(v * t) + np.exp(-v * t) * np.cos(v * np.pi)) * np.exp(-x * np.sinh(t)), 12.0) / np.pi
 
 
 def _bessel_i(x, v):
-    out = _integral(lambda t: math.exp(x * math.cos(t)) * math.cos(v * t), 0, math.pi) / math.pi
-    if v != int(v):
-        out -= math.sin(v * math.pi) / math.pi * _integral(lambda t: math.exp(-x * math.cosh(t) - v * t), 0, 12)
-    return out
+    out = _integral(lambda t: np.exp(x * np.cos(t)) * np.cos(v * t), np.pi) / np.pi
+    return out - np.where(v == np.floor(v), 0.0, np.sin(v * np.pi) / np.pi * _integral(lambda t: np.exp(-x * np.cosh(t) - v * t), 12.0))
 
 
 def _bessel_k(x, v):
-    return _integral(lambda t: math.exp(-x * math.cosh(t)) * math.cosh(v * t), 0, 12)
+    return _integral(lambda t: np.exp(-x * np.cosh(t)) * np.cosh(v * t), 12.0)
 
 
-bessel_i, bessel_j, bessel_k, bessel_y = _special("bessel_i", _bessel_i, 2), _special("bessel_j", _bessel_j, 2), _special("bessel_k", _bessel_k, 2), _special("bessel_y", _bessel_y, 2)
+def _batched(name, fn, rows: int = 1000):
+    """A numpy function of two columns, on Arrow batches, some rows at once."""
+
+    def build(ctx, x, v):
+        ship_package(ctx.tbl.df.sparkSession)
+
+        def run(x: pd.Series, v: pd.Series) -> pd.Series:
+            a, b = x.to_numpy(dtype="float64"), v.to_numpy(dtype="float64")
+            with np.errstate(all="ignore"):
+                parts = [fn(a[i : i + rows], b[i : i + rows]) for i in range(0, len(a), rows)]
+            out = np.concatenate(parts) if parts else np.empty(0)
+            return pd.Series(out, dtype=object).where(~np.isnan(out), None).astype("Float64")
+
+        return F.pandas_udf(lambda a, b: run(a, b), "double")(x.cast("double"), v.cast("double"))
+
+    return _plain(name, build)
+
+
+bessel_i, bessel_j, bessel_k, bessel_y = _batched("bessel_i", _bessel_i), _batched("bessel_j", _bessel_j), _batched("bessel_k", _bessel_k), _batched("bessel_y", _bessel_y)
 
 # complex numbers are struct(re, im)
 
@@ -210,10 +227,11 @@ def _numpy_draw(name, method):
         seed = _draw()
 
         def run(u, *p):
-            import numpy as np
-
             rng = np.random.default_rng([seed, int(float(u.iloc[0]) * 2**52) if len(u) else 0])
-            return pd.Series(getattr(rng, method)(*(x.to_numpy() for x in p), size=len(u)), dtype="float64")
+            values = [x.to_numpy() for x in p]
+            if method == "binomial":  # the number of trials is whole
+                values[0] = values[0].astype(np.int64)
+            return pd.Series(getattr(rng, method)(*values, size=len(u)), dtype="float64")
 
         udf = F.pandas_udf((lambda u, a: run(u, a)) if len(params) == 1 else (lambda u, a, b: run(u, a, b)), "double")
         return udf(F.rand(seed), *(p.cast("double") for p in params))

@@ -60,6 +60,14 @@ def chartr(ctx, old, new, x):
     return F.translate(ctx.bind(x), old, new)
 
 
+def grep(pattern, x, ignore_case=False, value=False, fixed=False, invert=False):
+    """0-based positions, or with ``value`` the values, of a group's matches, as an array in row order."""
+    from .aggregates import _grep_values, which
+
+    hit = grepl(pattern, x, ignore_case=ignore_case, fixed=fixed, invert=invert)
+    return _grep_values(x, hit) if value else which(hit)
+
+
 @function()
 def startswith(ctx, x, prefix):
     return F.startswith(x, prefix)
@@ -150,8 +158,9 @@ def strsplit(ctx, x, sep, fixed=False):
     return F.split(ctx.bind(x), _literal(sep, fixed), -1)
 
 
-@function()
+@function(raw=True)
 def strtoi(ctx, x, base=0):
+    x = ctx.bind(x)
     if base:
         return F.conv(x, base, 10).cast("long")
     low = F.lower(x)
@@ -309,5 +318,24 @@ def pd_str(x):
     return _Accessor(x, _STR)
 
 
+def pd_cat(x):
+    """Factor accessors: ``codes`` (0-based, -1 for missing), ``categories`` and ``ordered``."""
+    from .factors import get
+
+    table = {
+        "codes": lambda ctx, x: F.when(get(ctx, x).col.isNull(), F.lit(-1)).otherwise(F.coalesce(F.array_position(F.array(*map(F.lit, get(ctx, x).levels)), get(ctx, x).col), F.lit(0)) - 1),
+        "categories": lambda ctx, x: F.array(*map(F.lit, get(ctx, x).levels)),
+        "ordered": lambda ctx, x: F.lit(get(ctx, x).ordered),
+    }
+
+    class _Categories:
+        def __getattr__(self, name):
+            if name not in table:
+                raise AttributeError(name)
+            return function(raw=True, name=name)(table[name])(x)
+
+    return _Categories()
+
+
 def attrgetter(x, attr: str):
     return getattr(_Accessor(x, _STR | _DT), attr)

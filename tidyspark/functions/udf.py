@@ -16,7 +16,8 @@ def user_function(fn: Callable | None = None, *, kind: str = "transform", return
     """Make a library function of a pandas function.
 
     ``kind="agg"``: series to scalar; in mutate() it is spread over the group.  ``kind="transform"``: series to series,
-    row by row, in Arrow batches (it must not depend on other rows).  ``pre``/``post`` change expressions before and after.
+    row by row, in Arrow batches (it must not depend on other rows).  ``kind="apply"``: the group's series to any number of
+    values of type ``returns``, given as an array (unchop() it for rows).  ``pre``/``post`` change expressions before and after.
     """
 
     def deco(fn: Callable):
@@ -28,18 +29,24 @@ def user_function(fn: Callable | None = None, *, kind: str = "transform", return
                     return fn(*series, **options)
 
                 udf = _grouped(run, returns)
+            elif kind == "apply":
+
+                def run(*series: pd.Series):
+                    return list(fn(*series, **options))
+
+                udf = _grouped(run, T.ArrayType(T._parse_datatype_string(returns) if isinstance(returns, str) else returns))
             else:
 
                 def run(*series: pd.Series) -> pd.Series:
                     return pd.Series(fn(*series, **options))
 
                 udf = _scalar(run, returns)
-            return ctx.spread(udf(*cols)) if kind == "agg" else udf(*cols)
+            return ctx.spread(udf(*cols)) if kind in ("agg", "apply") else udf(*cols)
 
         def call(*args, **options):
             args = tuple(map(wrap, args))
             args = tuple(pre(a) for a in args) if pre else args
-            out = Func(getattr(fn, "__name__", "user"), build, args, options, "agg" if kind == "agg" else "row")
+            out = Func(getattr(fn, "__name__", "user"), build, args, options, "agg" if kind in ("agg", "apply") else "row")
             return post(out) if post else out
 
         call.__name__, call.__doc__ = getattr(fn, "__name__", "user"), fn.__doc__

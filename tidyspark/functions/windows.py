@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -173,10 +175,13 @@ def consecutive_id(ctx, *xs, order_by=None):
 
 
 @function("win", raw=True)
-def diff(ctx, x, lag=1, order_by=None):
-    """The first ``lag`` rows are missing; drop them for the shortened vector."""
-    v = ctx.bind(x)
-    return v - F.lag(v, lag).over(_order(ctx, order_by))
+def diff(ctx, x, lag=1, differences=1, order_by=None):
+    """The first ``lag * differences`` rows are missing; drop them for the shortened vector."""
+    v, w = ctx.bind(x), _order(ctx, order_by)
+    out = v
+    for k in range(1, differences + 1):  # binomial form: windows don't nest
+        out = out + F.lit((-1) ** k * comb(differences, k)) * F.lag(v, k * lag).over(w)
+    return out
 
 
 @function("win", raw=True)
@@ -192,9 +197,19 @@ def duplicated(ctx, *xs, from_last=False):
 
 @function("win", raw=True)
 def cur_group_id(ctx):
-    """0-based, by key order."""
-    g = _groups(ctx)
-    return F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(*(x.asc_nulls_last() for x in g))) - 1 if g else F.lit(0)
+    """0-based, by key order: the distinct keys are numbered (one row a group) and joined back."""
+    if not ctx.tbl.groups:
+        return F.lit(0)
+    from ..plans.tbl import quoted
+
+    name, keys = ctx.name("g"), [ctx.name("k") for _ in ctx.tbl.groups]
+    ids = ctx.tbl.df.select(*(quoted(g).alias(k) for g, k in zip(ctx.tbl.groups, keys))).distinct()
+    ids = ids.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*(F.col(k).asc_nulls_last() for k in keys))) - 1)
+    same = F.lit(True)
+    for g, k in zip(ctx.tbl.groups, keys):
+        same = same & quoted(g).eqNullSafe(F.col(k))
+    ctx.tbl = ctx.tbl.with_df(ctx.tbl.df.join(ids, same, "left").drop(*keys))
+    return F.col(name)
 
 
 def order_by(order, call: Func) -> Func:

@@ -13,6 +13,16 @@ from ..plans.select import everything, resolve
 from ..plans.tbl import ORDINAL, Ctx, Tbl, clean, evaluate, name_of, put, quoted, verb
 
 
+_current: list[str] = []
+
+
+def cur_column() -> str:
+    """The name of the column that ``across`` is at."""
+    if not _current:
+        raise ValueError("cur_column() is for functions of across()")
+    return _current[-1]
+
+
 class Across:
     """columns x functions; expands to named expressions."""
 
@@ -30,7 +40,11 @@ class Across:
         for c in cols:
             for i, (k, g) in enumerate(self.fns.items()):
                 label = pattern.format(_col=c, _fn=k or "1", _fn0=i, _fn1=i + 1)
-                out.append((label, wrap(_call(g, Ref(c), self.args, self.kwargs))))
+                _current.append(c)
+                try:
+                    out.append((label, wrap(_call(g, Ref(c), self.args, self.kwargs))))
+                finally:
+                    _current.pop()
         return out
 
 
@@ -198,8 +212,12 @@ def relocate(tbl: Tbl, *args, _before=None, _after=None, **renames) -> Tbl:
 
 
 @verb
-def filter_(tbl: Tbl, *conditions) -> Tbl:
-    """Rows for which all conditions hold; missing is false; aggregates and ranks work per group."""
+def filter_(tbl: Tbl, *conditions, _preserve: bool = False) -> Tbl:
+    """Rows for which all conditions hold; missing is false; aggregates and ranks work per group.
+
+    ``_preserve`` is taken for its callers' sake: groups are made from the rows when they are asked for, so there is no
+    stored grouping to keep.
+    """
     out, cols = tbl, tbl.columns
     for c in conditions:
         if isinstance(c, bool):
@@ -372,6 +390,23 @@ def column_to_rownames(tbl: Tbl, var: str = "rowname") -> Tbl:
     return relocate.direct(tbl, var)
 
 
+@verb
+def rownames(tbl: Tbl) -> list[int]:
+    """0-based row numbers: rows have no other names."""
+    return list(range(tbl.df.count()))
+
+
+@verb
+def set_rownames(tbl: Tbl, names, var: str = "rowname") -> Tbl:
+    """Names (a list in row order) as the first column ``var``."""
+    from ..sources.tables import tibble
+
+    at = "__at__"
+    given = tibble(spark=tbl.df.sparkSession, **{var: list(names)}).df.withColumnRenamed(ORDINAL, at)
+    rows = rowid_to_column.direct(tbl, at)
+    return rows.regroup(clean(rows.df.join(F.broadcast(given), at), [var, *tbl.columns]))
+
+
 @verb
 def remove_rownames(tbl: Tbl) -> Tbl:
     return tbl

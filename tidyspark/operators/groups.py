@@ -24,8 +24,9 @@ class Grouper:
 
 
 @verb
-def group_by(tbl: Tbl, *args, _add: bool = False, _drop: bool | None = None, **kwargs) -> Tbl:
-    """Keys are columns or expressions (computed first)."""
+def group_by(tbl: Tbl, *args, _add: bool = False, _drop: bool | None = None, _sort: bool = False, _dropna: bool = False, **kwargs) -> Tbl:
+    """Keys are columns or expressions (computed first).  ``_dropna`` leaves out rows with a missing key; ``_sort`` sets the
+    row order to that of the keys."""
     buckets = [a for a in args if isinstance(a, Grouper)]
     args = [a for a in args if not isinstance(a, Grouper)]
     cur = tbl if _add else tbl.ungroup()
@@ -40,7 +41,9 @@ def group_by(tbl: Tbl, *args, _add: bool = False, _drop: bool | None = None, **k
     if gone:
         raise KeyError(f"no columns {gone}")
     keys = list(dict.fromkeys([*(tbl.groups if _add else ()), *keys]))
-    return Tbl(cur.df, tuple(keys), "grouped" if keys else "plain", tbl.order, tbl.drop if _drop is None else _drop)
+    df = cur.df.na.drop("any", subset=keys) if _dropna and keys else cur.df
+    order = tuple(quoted(k).asc_nulls_last() for k in keys) if _sort else tbl.order
+    return Tbl(df, tuple(keys), "grouped" if keys else "plain", order, tbl.drop if _drop is None else _drop)
 
 
 @verb
@@ -119,7 +122,7 @@ def _summary(tbl: Tbl, args, kwargs) -> tuple[DataFrame, list[str], list[str]]:
 def _is_vector(e) -> bool:
     from ..plans.expr import Func
 
-    return isinstance(e, Func) and e.name in ("quantile", "which", "rep", "seq", "seq_len", "collect", "c_", "c", "sort", "rev")
+    return isinstance(e, Func) and e.name in ("quantile", "which", "rep", "seq", "seq_len", "collect", "c_", "c", "sort", "rev", "unique", "order", "sample", "_grep_values")
 
 
 def _unroll(df: DataFrame, keys: list[str], names: list[str], arrays: list[str]) -> DataFrame:
@@ -304,7 +307,8 @@ def group_modify(tbl: Tbl, fn: Callable, schema: str) -> Tbl:
 
 @verb
 def group_split(tbl: Tbl, *args, _keep: bool = True) -> list[Tbl]:
-    """One lazy table a group (keys are collected)."""
+    """One lazy table a group.  Keys are collected, and each table that is used scans its input once: for few groups, over
+    a table that was written or cached."""
     if args:
         tbl = group_by.direct(tbl, *args)
     out = []
@@ -322,6 +326,10 @@ def group_map(tbl: Tbl, fn: Callable, *args, _keep: bool = False, **kwargs) -> l
     return [fn(t, *args, **kwargs) for t in group_split.direct(tbl, _keep=_keep)]
 
 
+#: The list forms' names; both verbs give lists already.
+group_split.list, group_map.list = group_split, group_map
+
+
 @verb
 def group_walk(tbl: Tbl, fn: Callable, *args, **kwargs) -> None:
     group_map.direct(tbl, fn, *args, **kwargs)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.factors import bounded
 from ..plans.expr import Ref
 from ..plans.select import is_numeric_type, resolve
 from ..plans.tbl import ORDINAL, Tbl, clean, evaluate, name_of, quoted, verb
@@ -87,8 +88,12 @@ def pivot_wider(tbl: Tbl, id_cols=None, names_from="name", names_prefix: str = "
     ids = [c for c in tbl.columns if c not in nf + vf] if id_cols is None else resolve(tbl, id_cols if isinstance(id_cols, (list, tuple)) else [id_cols])
     key = F.concat_ws(names_sep, *(quoted(c).cast("string") for c in nf))
     df = tbl.df.where(reduce(lambda a, b: a & b, (quoted(c).isNotNull() for c in nf + ids))).withColumn("__key__", key)
+    parts = {}
     if names is None:
-        names = sorted(r[0] for r in df.select("__key__").distinct().collect())
+        # a key's parts stay apart: a value may hold the separator
+        found = bounded(df.select("__key__", *(quoted(c).cast("string") for c in nf)).distinct())
+        parts = {r[0]: list(r[1:]) for r in found}
+        names = sorted(parts)
     names = list(names)
 
     def cell(v: str, k: str) -> Column:
@@ -106,7 +111,8 @@ def pivot_wider(tbl: Tbl, id_cols=None, names_from="name", names_prefix: str = "
 
     def label(v: str, k: str) -> str:
         if names_glue:
-            return names_glue.format(**dict(zip(nf, k.split(names_sep)))) if len(vf) == 1 else names_glue.format(_value=v, **dict(zip(nf, k.split(names_sep))))
+            of = dict(zip(nf, parts.get(k) or k.split(names_sep)))
+            return names_glue.format(**of) if len(vf) == 1 else names_glue.format(_value=v, **of)
         return names_prefix + (k if len(vf) == 1 else f"{v}{names_sep}{k}")
 
     cells = [(label(v, k), v, k) for v in vf for k in names]

@@ -303,16 +303,16 @@ def left_join(customer, orders):
     return t.left_join(customer, orders, by={"c_custkey": "o_custkey"}) >> t.select(f.c_custkey, f.o_orderkey)
 
 
-@query("select k, o_orderkey, c_name from (select c_custkey as k, c_name from customer where c_custkey % 2 = 0) right join (select o_custkey as k, o_orderkey from orders) using (k)")
+@query("select k, o_orderkey, c_name from (select c_custkey as k, c_name from customer where c_acctbal < 5000) right join (select o_custkey as k, o_orderkey from orders) using (k)")
 def right_join(customer, orders):
-    a = customer >> t.filter_(f.c_custkey % 2 == 0) >> t.select(k=f.c_custkey, c_name=f.c_name)
+    a = customer >> t.filter_(f.c_acctbal < 5000) >> t.select(k=f.c_custkey, c_name=f.c_name)
     return t.right_join(a, orders >> t.select(k=f.o_custkey, o_orderkey=f.o_orderkey), by="k")
 
 
-@query("select coalesce(a.k, b.k) as k, x, y from (select c_custkey as k, c_acctbal as x from customer where c_custkey % 2 = 0) a full join (select c_custkey as k, c_nationkey as y from customer where c_custkey % 3 = 0) b on a.k = b.k")
+@query("select coalesce(a.k, b.k) as k, x, y from (select c_custkey as k, c_acctbal as x from customer where c_acctbal < 5000) a full join (select c_custkey as k, c_nationkey as y from customer where c_acctbal > 2000) b on a.k = b.k")
 def full_join(customer):
-    a = customer >> t.filter_(f.c_custkey % 2 == 0) >> t.select(k=f.c_custkey, x=f.c_acctbal)
-    return t.full_join(a, customer >> t.filter_(f.c_custkey % 3 == 0) >> t.select(k=f.c_custkey, y=f.c_nationkey), by="k")
+    a = customer >> t.filter_(f.c_acctbal < 5000) >> t.select(k=f.c_custkey, x=f.c_acctbal)
+    return t.full_join(a, customer >> t.filter_(f.c_acctbal > 2000) >> t.select(k=f.c_custkey, y=f.c_nationkey), by="k")
 
 
 @query("select c_custkey from customer where c_custkey in (select o_custkey from orders)")
@@ -341,26 +341,20 @@ def join_suffix(customer):
     return t.inner_join(a, a, by="c_custkey")
 
 
-@query("select a.o_orderkey, b.o_custkey from (select o_orderkey, nullif(o_orderstatus, 'P') as s from orders where o_orderkey < 200) a join (select o_custkey, nullif(o_orderstatus, 'P') as s from orders where o_orderkey < 100) b on a.s is not distinct from b.s")
-def join_na_keys(orders):
-    keyed = orders >> t.mutate(s=t.na_if(f.o_orderstatus, "P"))
-    return t.inner_join(keyed >> t.filter_(f.o_orderkey < 200) >> t.select(f.o_orderkey, f.s), keyed >> t.filter_(f.o_orderkey < 100) >> t.select(f.o_custkey, f.s), by="s") >> t.select(f.o_orderkey, f.o_custkey)
-
-
 @query("select a.o_orderkey, b.n from (select o_orderkey, nullif(o_orderstatus, 'P') as s from orders) a join (select nullif(o_orderstatus, 'P') as s, count(*) as n from orders group by all) b on a.s is not distinct from b.s")
-def join_na_keys_whole(orders):
+def join_na_keys(orders):
     keyed = orders >> t.mutate(s=t.na_if(f.o_orderstatus, "P"))
     return t.inner_join(keyed >> t.select(f.o_orderkey, f.s), keyed >> t.count(f.s), by="s") >> t.select(f.o_orderkey, f.n)
 
 
 # ---- sets and rows ----
 
-_A, _B = "(select c_nationkey, c_mktsegment from customer where c_custkey % 2 = 0)", "(select c_nationkey, c_mktsegment from customer where c_custkey % 3 = 0)"
+_A, _B = "(select c_nationkey, c_mktsegment from customer where c_mktsegment <> 'BUILDING')", "(select c_nationkey, c_mktsegment from customer where c_nationkey > 5)"
 
 
 def _halves(customer):
     narrow = t.select(f.c_nationkey, f.c_mktsegment)
-    return customer >> t.filter_(f.c_custkey % 2 == 0) >> narrow, customer >> t.filter_(f.c_custkey % 3 == 0) >> narrow
+    return customer >> t.filter_(f.c_mktsegment != "BUILDING") >> narrow, customer >> t.filter_(f.c_nationkey > 5) >> narrow
 
 
 def _set_query(name: str, sql: str) -> None:
@@ -437,9 +431,12 @@ def pivot_longer_value(supplier):
     return supplier >> t.transmute(f.s_suppkey, x_1=f.s_nationkey, y_1=f.s_acctbal, x_2=f.s_nationkey + 1, y_2=f.s_acctbal * 2) >> t.pivot_longer(~c[f.s_suppkey], names_to=[".value", "n"], names_sep="_")
 
 
-@query("""select o_orderstatus, sum((o_orderpriority = '1-URGENT')::int)::bigint as "1-URGENT", sum((o_orderpriority = '2-HIGH')::int)::bigint as "2-HIGH" from orders where o_orderpriority in ('1-URGENT', '2-HIGH') group by all""")
+_PRIORITIES = ", ".join(f"""sum((o_orderpriority = '{p}')::int)::bigint as "{p}\"""" for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))
+
+
+@query(f"select o_orderstatus, {_PRIORITIES} from orders group by all")
 def pivot_wider(orders):
-    return orders >> t.filter_(t.is_element(f.o_orderpriority, ["1-URGENT", "2-HIGH"])) >> t.count(f.o_orderstatus, f.o_orderpriority) >> t.ungroup() >> t.pivot_wider(names_from="o_orderpriority", values_from="n", values_fill=0)
+    return orders >> t.count(f.o_orderstatus, f.o_orderpriority) >> t.ungroup() >> t.pivot_wider(names_from="o_orderpriority", values_from="n", values_fill=0)
 
 
 @query("select o_orderkey, split_part(o_orderpriority, '-', 1) as num, split_part(o_orderpriority, '-', 2) as label from orders")
@@ -482,9 +479,9 @@ def expand(orders):
     return orders >> t.expand(f.o_orderstatus, f.o_orderpriority)
 
 
-@query("select g.c_nationkey, g.c_mktsegment, coalesce(n, 0) as n from (select * from (select distinct c_nationkey from customer) cross join (select distinct c_mktsegment from customer)) g left join (select c_nationkey, c_mktsegment, count(*) as n from customer where c_custkey % 5 = 0 group by all) using (c_nationkey, c_mktsegment) where g.c_nationkey in (select c_nationkey from customer where c_custkey % 5 = 0) and g.c_mktsegment in (select c_mktsegment from customer where c_custkey % 5 = 0)")
+@query("select g.c_nationkey, g.c_mktsegment, coalesce(n, 0) as n from (select * from (select distinct c_nationkey from customer) cross join (select distinct c_mktsegment from customer)) g left join (select c_nationkey, c_mktsegment, count(*) as n from customer where c_acctbal > 9000 group by all) using (c_nationkey, c_mktsegment) where g.c_nationkey in (select c_nationkey from customer where c_acctbal > 9000) and g.c_mktsegment in (select c_mktsegment from customer where c_acctbal > 9000)")
 def complete(customer):
-    return customer >> t.filter_(f.c_custkey % 5 == 0) >> t.count(f.c_nationkey, f.c_mktsegment) >> t.complete(f.c_nationkey, f.c_mktsegment, fill={"n": 0})
+    return customer >> t.filter_(f.c_acctbal > 9000) >> t.count(f.c_nationkey, f.c_mktsegment) >> t.complete(f.c_nationkey, f.c_mktsegment, fill={"n": 0})
 
 
 @query("select n_name from nation, generate_series(1, n_regionkey)")
@@ -604,3 +601,6 @@ def special_lgamma(nation):
 @query()
 def random_normal(nation):
     return nation >> t.transmute(f.n_nationkey, z=t.rnorm(1))
+
+
+from . import queries_names  # noqa: E402, F401  registers more of the catalogue

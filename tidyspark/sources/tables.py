@@ -19,7 +19,8 @@ def tibble(*args, spark: SparkSession | None = None, _name_repair="check_unique"
 
     spark = _spark(spark)
     pairs = [(a.name, a) if isinstance(a, Ref) else a if isinstance(a, tuple) else (str(a), a) for a in args] + list(columns.items())
-    lists = {k: list(v) for k, v in pairs if isinstance(v, (list, tuple, range)) or hasattr(v, "tolist")}
+    several = lambda v: isinstance(v, (list, tuple, range)) or not isinstance(v, Expr) and hasattr(v, "tolist")
+    lists = {k: list(v) for k, v in pairs if several(v)}
     sizes = {len(v) for v in lists.values()} - {1}
     if len(sizes) > 1:
         raise ValueError(f"sizes differ: {sorted(sizes)}")
@@ -30,7 +31,7 @@ def tibble(*args, spark: SparkSession | None = None, _name_repair="check_unique"
         if isinstance(v, Expr):
             later.append((name, v))
         else:
-            v = list(v) if isinstance(v, (list, tuple, range)) or hasattr(v, "tolist") else [v]
+            v = list(v) if several(v) else [v]
             v = [x.item() if hasattr(x, "item") else x for x in v]
             v = v * n if len(v) == 1 else v
             if any(isinstance(x, float) for x in v):
@@ -164,6 +165,18 @@ def write(tbl: Tbl, path: str, format: str = "parquet", mode: str = "error", par
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+_OPTIONS: dict[str, object] = {}
+
+
+def options(*names: str, **values) -> dict[str, object]:
+    """Sets options and returns the old values of those set, or the values of ``names`` (all without arguments)."""
+    if values:
+        old = {k: _OPTIONS.get(k) for k in values}
+        _OPTIONS.update(values)
+        return old
+    return {k: _OPTIONS.get(k) for k in names} if names else dict(_OPTIONS)
+
+
 def get_versions() -> dict[str, str]:
     import platform
 
