@@ -44,6 +44,31 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of text that a classifier's sample may hold on the driver.
+SAMPLE_BYTES = 64 << 20
+
+
+def within_bytes(rows: DataFrame, text: str, keys: list[str], limit: int = SAMPLE_BYTES) -> DataFrame:
+    """The rows, in the order of a hash of ``keys``, until their texts reach ``limit`` bytes; whole texts only.
+
+    ``rows`` is a sample already bounded in rows: they are summed up in one task.
+    """
+    from pyspark.sql import Window
+
+    total = free_name(rows, "bytes")
+    w = Window.orderBy(F.xxhash64(*(col(k) for k in keys)), *(col(k) for k in keys)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn(total, F.sum(F.octet_length(F.coalesce(col(text), F.lit("")))).over(w)).filter(col(total) <= limit).drop(total)
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame, limit: int = SAMPLE_BYTES) -> list:
+    """Rows of ``chosen`` (k, labels; bounded in rows) with the text of their document; ``docs`` has k and text.
+
+    A repeated id gives one text (the one whose hash is least), so the rows stay as many as ``chosen`` has.
+    """
+    texts = docs.join(F.broadcast(chosen.select("k").distinct()), "k", "left_semi").groupBy("k").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return within_bytes(texts.join(F.broadcast(chosen), "k"), "text", [c for c in chosen.columns if c == "k"] + [c for c in chosen.columns if c != "k"], limit).collect()
+
+
 class Shelf:
     """Tables written as Parquet to the shared folder, which cuts lineage; unlike a checkpoint, a table read back brings
     its true size to the planner and none of the constraints of the plan that made it, which pile up in loops."""

@@ -4,7 +4,7 @@ Trained by FTRL-proximal (per-coordinate rates, L1 and L2 penalties, so most wei
 is fitted on held-back sample rows so that scores are calibrated.  A text's feature is its relative n-gram frequency
 times the n-gram's inverse document frequency; both whole-text sums, so scoring is one gather and one sum per n-gram.
 
-The fit uses a bounded sample of labelled rows (``per_class``); scoring covers every row and whole texts.
+The fit uses a bounded sample of labelled rows (``per_class`` rows a language, ``SAMPLE_BYTES`` of text in all); scoring covers every row and whole texts.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; null labels aren't learned from; without
 any labelled row every text is ``und``; repeated rows and ties get equal predictions (a tie goes to the language that
@@ -21,12 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, col, id_remainder, read
+from .common import bounded_sample, col, id_remainder, read, within_bytes
 from .textvec import bucket, chunks, gram_codes
 
 GRAMS, BITS = (1, 2, 3), 16
 PER_CLASS = 1500
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACES = re.compile(r"[\x09-\x0D]")
 _SCALE = 30.0
 
@@ -157,7 +156,7 @@ def predict(model: LanguageModel | None, texts: list[str | None]) -> tuple[list[
                 total[:, j] += np.bincount(d, model.weights[b, j], minlength=len(part))
         p = _softmax((total / np.maximum(1, seen)[:, None] + model.bias) / model.temperature)
         for i, t in enumerate(part):
-            if t and _LETTER.search(t):
+            if t and any(map(str.isalpha, t)):
                 k = int(p[i].argmax())
                 langs[first + i], scores[first + i] = model.labels[k], p[i, k]
     return langs, scores
@@ -166,7 +165,7 @@ def predict(model: LanguageModel | None, texts: list[str | None]) -> tuple[list[
 def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_class: int = PER_CLASS) -> LanguageModel | None:
     """Fit on about ``per_class`` rows of each label; ``docs`` holds learnable rows only."""
     rows = docs.select(col(key).alias("k"), col(text).alias("text"), col(label).alias("label")).filter("text is not null and label is not null")
-    got = sorted((r.k is None, r.k, r.text, r.label) for r in bounded_sample(rows, "label", per_class, ["k", "text"]).collect())
+    got = sorted((r.k is None, r.k, r.text, r.label) for r in within_bytes(bounded_sample(rows, "label", per_class, ["k", "text"]), "text", ["k", "text"]).collect())
     rng = np.random.default_rng(1)
     got = [got[i] for i in rng.permutation(len(got))]
     return fit([g[2] for g in got], [g[3] for g in got])

@@ -4,7 +4,7 @@ Words, word pairs (those of one word twice share a feature besides) and characte
 softmax layer gives the classes, and numpy SGD trains both.  Averaging and the output layer are linear, so for scoring
 each hashed vector folds to one number and a whole text costs one gather and one sum per feature.
 
-The fit uses a bounded sample of labelled rows (``per_class``); scoring covers every row and whole texts.
+The fit uses a bounded sample of labelled rows (``per_class`` rows a label, ``SAMPLE_BYTES`` of text in all, one text an id); scoring covers every row and whole texts.
 
 Defined cases: null and empty texts have no features and get the score of the bias alone; without labels, or with one
 class only, every score is the share of label 1 (0.5 without labels); repeated rows and ties get equal scores; an empty
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, col, id_remainder, read
+from .common import bounded_sample, col, id_remainder, labelled_texts, read
 from .textvec import SPACE, Batch, bucket, chunks, gram_codes, windows
 
 BITS, DIM, GRAMS = 18, 8, (3, 4)
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     lab = labels.select(col(key).alias("k"), col(label).cast("int").alias("label")).filter("label in (0, 1)")
     # the sample is drawn among the narrow label rows, so the join moves few texts
     chosen = bounded_sample(lab.join(docs.select(col(key).alias("k")), "k", "left_semi"), "label", per_class, ["k"])
-    got = docs.select(col(key).alias("k"), col(text).alias("text")).join(F.broadcast(chosen), "k").collect()
+    got = labelled_texts(docs.select(col(key).alias("k"), col(text).alias("text")), chosen)
     got = sorted((r.k, r.label, r.text or "") for r in got)
     return fit([g[2] for g in got], [g[1] for g in got])
 

@@ -9,7 +9,7 @@ clean word can collide with a toxic one.
 ``categories`` are 0/1 label columns in chain order; the last one is the verdict.  The labels table marks quality and
 toxicity, so the query's chain is low_quality, then toxic.
 
-The fit uses a bounded sample of labelled rows (``per_class``); scoring covers every row and whole texts.
+The fit uses a bounded sample of labelled rows (``per_class`` rows a pattern of labels, ``SAMPLE_BYTES`` of text in all, one text an id); scoring covers every row and whole texts.
 
 Defined cases: null and empty texts have no feature and get the bias; a row without a label in some category isn't
 learned from; without labels, or with one class only, a category's probability is its share of ones (0 without labels);
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, col, free_name, read
+from .common import bounded_sample, col, free_name, labelled_texts, read
 from .textvec import NOT_LETTER, Batch, chunks
 
 CATEGORIES = ("low_quality", "toxic")
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     lab = labels.select(col(key).alias("k"), (F.lit(1) - col("quality").cast("int")).alias("low_quality"), col("toxic").cast("int").alias("toxic")).filter("low_quality in (0, 1) and toxic in (0, 1) and k is not null")
     lab = lab.withColumn("pattern", F.col("toxic") * 2 + F.col("low_quality"))
     chosen = bounded_sample(lab.join(docs.select(col(key).alias("k")), "k", "left_semi"), "pattern", per_class, ["k"])
-    got = docs.select(col(key).alias("k"), col(text).alias("text")).join(F.broadcast(chosen), "k").collect()
+    got = labelled_texts(docs.select(col(key).alias("k"), col(text).alias("text")), chosen.select("k", "low_quality", "toxic"))
     got = sorted((r.k, r.low_quality, r.toxic, r.text or "") for r in got)
     got = [got[i] for i in np.random.default_rng(5).permutation(len(got))]
     return fit([g[3] for g in got], np.array([g[1:3] for g in got]).reshape(-1, 2))

@@ -1,7 +1,8 @@
 """URL filtering: rules first, then gradient-boosted trees on lexical features.
 
-The rules label the URLs they fit; a bounded sample of these trains the trees (histogram splits, logistic loss), which
-judge every URL that no rule fits.  Features: lengths of URL, host and path, path depth, digit ratio, character entropy,
+The rules label the URLs they fit; a bounded sample of these (``PER_CLASS`` a verdict, ``SAMPLE_BYTES`` in all) trains the
+trees (histogram splits, logistic loss), which judge every URL that no rule fits.  The suffixes' block rates are counted
+over all labelled URLs and joined on, heavy suffixes apart.  Features: lengths of URL, host and path, path depth, digit ratio, character entropy,
 parameter count, host labels, hyphens, and smoothed block rates of the host's suffixes.
 
 Host and path are parsed, and rules matched, by DataFrame functions; only scoring is a pandas UDF.
@@ -22,10 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, col, read
+from .common import Shelf, bounded_sample, col, join_hot, read, within_bytes
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 PER_CLASS = 10_000
+#: Rows' worth of the overall rate that a suffix's rate starts with.
+WEIGHT = 20.0
 FEATURES = ("url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "host_labels", "hyphens", "suffix_1", "suffix_2")
 
 
@@ -65,7 +68,26 @@ def _entropy(s: str) -> float:
     return -sum(c / n * np.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
-def features(urls: Sequence[str | None], hosts: Sequence[str], paths: Sequence[str], suffixes: dict[str, float], prior: float) -> np.ndarray:
+def suffixes(host: Column) -> tuple[Column, Column]:
+    """A host's last label and its last two."""
+    return F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
+
+
+def suffix_rates(judged: DataFrame, weight: float = WEIGHT) -> DataFrame:
+    """(suffix, rate, n): the smoothed share of blocked URLs of each suffix, over all URLs that rules label; n: the
+    suffix's rows in the whole table."""
+    blocked = F.when(F.col("verdict") == "block", 1.0).when(F.col("verdict") == "allow", 0.0)
+    s1, s2 = suffixes(F.col("host"))
+    # a host of one label is one suffix
+    each = judged.select(blocked.alias("y"), F.explode(F.array_distinct(F.array(s1, s2))).alias("suffix"))
+    counts = each.groupBy("suffix").agg(F.sum("y").alias("blocked"), F.count("y").alias("seen"), F.count(F.lit(1)).alias("n"))
+    prior = judged.agg(F.avg(blocked)).first()[0]
+    prior = F.lit(0.0 if prior is None else min(max(prior, 1e-6), 1 - 1e-6))
+    return counts.filter("seen > 0").select("suffix", ((F.col("blocked") + F.lit(weight) * prior) / (F.col("seen") + F.lit(weight))).alias("rate"), "n")
+
+
+def features(urls: Sequence[str | None], hosts: Sequence[str], paths: Sequence[str], suffixes: dict[str, float], prior: float, rates: np.ndarray | None = None) -> np.ndarray:
+    """``rates``: (urls, 2) block rates of the suffixes, NaN where unknown; else they are looked up in ``suffixes``."""
     out = np.empty((len(urls), len(FEATURES)))
     for i, (u, h, p) in enumerate(zip(urls, hosts, paths)):
         u = u or ""
@@ -75,10 +97,12 @@ def features(urls: Sequence[str | None], hosts: Sequence[str], paths: Sequence[s
             len(u), len(h), len(p), sum(1 for x in p.split("/") if x), sum(map(str.isdigit, u)) / len(u) if u else 0.0, _entropy(u),
             query.count("&") + 1 if query else 0, len(parts), u.count("-"), suffixes.get(parts[-1], prior), suffixes.get(".".join(parts[-2:]), prior),
         )
+    if rates is not None:
+        out[:, -2:] = np.where(np.isnan(rates), prior, rates)
     return out
 
 
-def _suffix_rates(hosts: Sequence[str], y: np.ndarray, prior: float, weight: float = 20.0) -> dict[str, float]:
+def _suffix_rates(hosts: Sequence[str], y: np.ndarray, prior: float, weight: float = WEIGHT) -> dict[str, float]:
     """Smoothed share of blocked URLs of each last label and last two labels."""
     n, blocked = Counter(), Counter()
     for h, b in zip(hosts, y):
@@ -89,7 +113,7 @@ def _suffix_rates(hosts: Sequence[str], y: np.ndarray, prior: float, weight: flo
     return {s: (blocked[s] + weight * prior) / (n[s] + weight) for s in n}
 
 
-def fit(urls: list[str], hosts: list[str], paths: list[str], y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, l2: float = 1.0, bins: int = 32) -> UrlModel:
+def fit(urls: list[str], hosts: list[str], paths: list[str], y: np.ndarray, rates: np.ndarray | None = None, rounds: int = 60, depth: int = 4, rate: float = 0.2, l2: float = 1.0, bins: int = 32) -> UrlModel:
     """Boosted complete trees of one depth; second-order gains on quantile bins."""
     if not len(y):
         return UrlModel(-30.0)
@@ -98,8 +122,9 @@ def fit(urls: list[str], hosts: list[str], paths: list[str], y: np.ndarray, roun
     model = UrlModel(prior)
     if y.min() == y.max():
         return model
-    model.suffixes = _suffix_rates(hosts, y, share)
-    x = features(urls, hosts, paths, model.suffixes, share)
+    if rates is None:
+        model.suffixes = _suffix_rates(hosts, y, share)
+    x = features(urls, hosts, paths, model.suffixes, share, rates)
     model.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     b = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(model.edges)], axis=1)
     score = np.full(len(y), prior)
@@ -131,11 +156,11 @@ def fit(urls: list[str], hosts: list[str], paths: list[str], y: np.ndarray, roun
     return model
 
 
-def predict(model: UrlModel, urls: Sequence[str | None], hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
+def predict(model: UrlModel, urls: Sequence[str | None], hosts: Sequence[str], paths: Sequence[str], rates: np.ndarray | None = None) -> np.ndarray:
     """Probability of block."""
     score = np.full(len(urls), model.prior)
     if model.trees and len(urls):
-        x = features(urls, hosts, paths, model.suffixes, 1 / (1 + np.exp(-model.prior)))
+        x = features(urls, hosts, paths, model.suffixes, 1 / (1 + np.exp(-model.prior)), rates)
         b = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(model.edges)], axis=1)
         rows = np.arange(len(urls))
         for feat, cutat, leaf in model.trees:
@@ -148,10 +173,11 @@ def predict(model: UrlModel, urls: Sequence[str | None], hosts: Sequence[str], p
 
 
 def train(judged: DataFrame, per_class: int = PER_CLASS) -> UrlModel:
-    """Fit on about ``per_class`` rule-labelled URLs of each verdict; ``judged`` has url, host, path, verdict."""
-    rows = judged.filter("verdict is not null").select("url", "host", "path", "verdict")
-    got = sorted((r.url, r.host, r.path, r.verdict) for r in bounded_sample(rows, "verdict", per_class, ["url"]).collect())
-    return fit([g[0] for g in got], [g[1] for g in got], [g[2] for g in got], np.array([g[3] == "block" for g in got], dtype=float))
+    """Fit on about ``per_class`` rule-labelled URLs of each verdict; ``judged`` has url, host, path, verdict, rate_1, rate_2."""
+    rows = judged.filter("verdict is not null").select("url", "host", "path", "verdict", "rate_1", "rate_2")
+    got = sorted((r.url, r.host, r.path, r.verdict, r.rate_1, r.rate_2) for r in within_bytes(bounded_sample(rows, "verdict", per_class, ["url"]), "url", ["url"]).collect())
+    rates = np.array([g[4:] for g in got], dtype=float).reshape(-1, 2)
+    return fit([g[0] for g in got], [g[1] for g in got], [g[2] for g in got], np.array([g[3] == "block" for g in got], dtype=float), rates)
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
@@ -159,16 +185,19 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str =
     df = parse(pages.select(col(page_id).alias("page_id"), col(url).cast("string").alias("url")))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     df = df.withColumn("rule", rule).withColumn("verdict", verdict)
+    rates = Shelf(pages.sparkSession, "url-rates").put(suffix_rates(df))
+    for i, s in enumerate(suffixes(F.col("host")), 1):
+        df = join_hot(df.withColumn("suffix", s), rates.withColumnRenamed("rate", f"rate_{i}"), ["suffix"], F.xxhash64("page_id", "url"), "n").drop("suffix")
     model = train(df)
 
     @F.pandas_udf("double")
-    def block(urls: pd.Series, hosts: pd.Series, paths: pd.Series, fits: pd.Series) -> pd.Series:
+    def block(urls: pd.Series, hosts: pd.Series, paths: pd.Series, fits: pd.Series, rate_1: pd.Series, rate_2: pd.Series) -> pd.Series:
         free = fits.isna().to_numpy()
         out = np.full(len(urls), np.nan)
-        out[free] = predict(model, urls[free].tolist(), hosts[free].tolist(), paths[free].tolist())
+        out[free] = predict(model, urls[free].tolist(), hosts[free].tolist(), paths[free].tolist(), np.column_stack((rate_1[free], rate_2[free])).astype(float))
         return pd.Series(out, dtype=object).where(free, None).astype("Float64")
 
-    p = F.when(F.col("rule").isNull(), block("url", "host", "path", "rule"))
+    p = F.when(F.col("rule").isNull(), block("url", "host", "path", "rule", "rate_1", "rate_2"))
     df = df.select("page_id", "host", "path", "rule", "verdict", p.alias("block_probability"))
     return df.withColumn("verdict", F.coalesce("verdict", F.when(F.col("block_probability") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))))
 

@@ -43,6 +43,8 @@ from .common import checkpoint, col, join_hot, new_folder, read
 BLOCK_LINES = 3000
 #: Neighbouring records are fetched by one range read of at most this many bytes.
 READ_BYTES = 4 << 20
+#: Compressed bytes of records that one task reads back.
+FETCH_BYTES = 32 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -212,7 +214,7 @@ def read_captures(archive: Archive, keys: DataFrame, page_id: str = "page_id", u
 
     Each distinct key is looked up once and gives all its captures.
     """
-    kind = keys.schema[page_id].dataType.simpleString()
+    spark, kind = keys.sparkSession, keys.schema[page_id].dataType.simpleString()
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +251,11 @@ def read_captures(archive: Archive, keys: DataFrame, page_id: str = "page_id", u
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()))], names=["id", "url", "payload_bytes", "payload_digest", "record_type", "refers", "payload"])
                 i = j
 
-    got = places.repartitionByRange("file", "at").sortWithinPartitions("file", "at").mapInArrow(fetch, "id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers string, payload binary")
+    # as many parts as the records' bytes ask for: the index rows are too small to tell
+    places = checkpoint(places)
+    n, total = places.agg(F.count(F.lit(1)), F.sum("length")).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = places.repartitionByRange(max(1, min(n, max(least, (total or 0) // FETCH_BYTES + 1))), "file", "at").sortWithinPartitions("file", "at").mapInArrow(fetch, "id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers string, payload binary")
     back = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
     return got.select(back("id").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", back("refers").alias("refers_to"), "payload")
 
