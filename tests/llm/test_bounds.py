@@ -70,3 +70,23 @@ def test_temperature_calibrates():
     got, scores = langid.predict(model, texts[800:])
     right = np.mean([g == "ab"[v] for g, v in zip(got, y[800:])])
     assert 0.6 < right < 1 and abs(right - scores.mean()) < 0.12
+
+
+def test_mixing_with_one_row_repeated_and_null_ids(spark):
+    """A third of the rows are one row without id; offsets stay exact and no group holds them all."""
+    from tidyspark.llm import mixing
+
+    rows = [(None, "a b c", "s", "x")] * 300 + [(i, "w " * (i % 9 + 1), "st"[i % 2], "y") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_row string").repartition(5)
+    plan = mixing.mix_plan(mixing._rows(df, "text", "doc_id", "source")).toPandas()
+    assert len(plan) == 900 and (plan.taken <= 2 * plan["size"]).all()
+    by = plan.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(by.taken - by.target) <= 1).all()
+    again = mixing.mix_plan(mixing._rows(df.repartition(3), "text", "doc_id", "source")).toPandas()
+    key = ["doc_id", "size", "taken"]
+    assert plan[key].astype(str).sort_values(key).values.tolist() == again[key].astype(str).sort_values(key).values.tolist()
+    mixed = mixing.mix_documents(df)
+    assert mixed.columns == df.columns
+    got = mixed.collect()
+    assert sum(len(r.text.split()) for r in got) == plan.taken.sum()
+    assert sum(r.doc_id is None for r in got) == sum(len(v) for v in plan[plan.doc_id.isna()].visits)

@@ -168,7 +168,7 @@ def test_quality_classifier(spark, edge, empty, duck):
 
 
 def _toxic_recall():
-    """Of one half of sf0.1's labelled rows, learned from the other: recall, recall of those that can be told, share of clean rows kept.
+    """Of one half of sf0.1's labelled rows, learned from the other: recall, recall of those that can be told, false alarms.
 
     About one toxic row in eight holds no word that only toxic rows have, but for the filler of its language: such a label
     can't be learned, so recall over all of them stays below 0.9 whatever the method.
