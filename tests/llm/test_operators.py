@@ -258,7 +258,6 @@ def test_fingerprint_edges(spark, empty):
     assert len({r.fingerprint for r in fingerprints.compare(fingerprints.with_next(twice)).collect()}) == 1
 
 
-@pytest.mark.skip(reason="open: 900 short lines don't finish within a minute, cause unknown")
 def test_fingerprint_of_many_lines(spark):
     long = "\n".join(f"line {i} of a long text" for i in range(900))
     data = [(3, long), (9, long + "\nmore")]

@@ -14,8 +14,10 @@ and an insertion shifts all later cuts.  So texts are also compared by content-d
 characters whose hash with the two before them is 0 modulo 32, so a change moves only the cuts beside it.  Pieces are
 about four words long, and too many for sketches (see ``apart``), so their digests are compared as sets; a text whose unchanged part holds no whole piece still has likeness 0.
 
-The next document of each document needs the order of all ids.  Ids are cut into ranges of about 256, each sorted by
-itself; only the first text of a range goes to the range before it, so texts are shuffled once.
+The next document of each document needs the order of all ids.  Documents are cut into ranges of about equal numbers by
+(id, text hash, row), whose bounds come from a range partitioning of those narrow keys; so outlying, repeated, null or string
+ids make no large range.  Each range is sorted by itself; only the first text of a range goes to the range before it, so
+texts are shuffled once.
 
 Defined cases: a null text is empty; a text without a non-empty line has an empty sketch and likeness 1 to another such; equal
 paragraphs of one text count once; equal ids are ordered by a hash of their texts (repeated rows follow each other); a null
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, col, read
+from .common import Shelf, col, read
 
 #: Code points of a line that make a paragraph of their own.
 PARAGRAPH_CHARS = 512
@@ -35,6 +37,8 @@ PARAGRAPH_CHARS = 512
 PIECE_WORDS, PIECE_CHARS, LONG_WORD = 4, 32, 64
 #: Rounds of peeling at one size, retries at larger sizes, digests aimed at per sub-sketch in a retry.
 ROUNDS, RETRIES, GROUP = 8, 10, 8
+#: Bytes of text aimed at per range of documents, and ranges at most (their bounds pass the driver).
+RANGE_BYTES, MAX_RANGES = 8 << 20, 100_000
 _CHECK = "xxhash64({}, 7)"
 
 
@@ -69,34 +73,50 @@ def _subtract(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
 
 
+#: No digests yet, as (sign, digest) pairs.
+_NONE = "slice(array(named_struct('c', 0, 'k', 0L)), 1, 0)"
+
+
 def _peel(cells: str, level: str) -> str:
-    """struct(cells: what is left, n: digests recovered, stop)."""
+    """struct(cells: what is left, found: (sign, digest) pairs recovered, stop)."""
     pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.c) = 1 and x.h = {_CHECK.format('x.k')}), x -> named_struct('c', x.c, 'k', x.k)))"
     remove = f"(z, p) -> named_struct('c', z.c - p.c, 'k', z.k ^ p.k, 'h', z.h ^ {_CHECK.format('p.k')})"
-    tables = f"flatten(transform({_bits(level)}, (bit, table) -> transform(slice(t.cells, 8 * table + 1, 8), (x, slot) -> aggregate(filter(found, p -> (shiftrightunsigned(p.k, bit) & 7L) = slot), x, {remove}))))"
-    return f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'n', 0, 'stop', false), (s, i) -> if(s.stop, s,
-      aggregate(array({pure}), s, (t, found) -> if(size(found) = 0, named_struct('cells', t.cells, 'n', t.n, 'stop', true),
-        named_struct('cells', {tables}, 'n', t.n + size(found), 'stop', false)))))"""
+    tables = f"flatten(transform({_bits(level)}, (bit, table) -> transform(slice(t.cells, 8 * table + 1, 8), (x, slot) -> aggregate(filter(pures, p -> (shiftrightunsigned(p.k, bit) & 7L) = slot), x, {remove}))))"
+    return f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', {_NONE}, 'stop', false), (s, i) -> if(s.stop, s,
+      aggregate(array({pure}), s, (t, pures) -> if(size(pures) = 0, named_struct('cells', t.cells, 'found', t.found, 'stop', true),
+        named_struct('cells', {tables}, 'found', concat(t.found, pures), 'stop', false)))))"""
 
 
-def difference(a: str, b: str, a_cells: str, b_cells: str) -> Column:
-    """Size of the symmetric difference of two digest arrays, by subtracting and peeling their sketches."""
+def difference(a: str, b: str, a_cells: str, b_cells: str) -> str:
+    """SQL of the symmetric difference of two digest arrays, by subtracting and peeling their sketches: an array of
+    (c, k), c = 1 for a digest k of ``a`` alone and -1 for one of ``b`` alone."""
     empty = "forall({}, x -> x.c = 0 and x.k = 0L and x.h = 0L)"
     first = _peel(_subtract(a_cells, b_cells), "0")
-    inner = _peel(_subtract(_build("g.a", "level"), _build("g.b", "level")), "level")
+    # both sides' sketches are bound by one transform, so the long expressions stand here once
+    inner = f"element_at(transform(array(transform(array(g.a, g.b), ks -> {_build('ks', 'level')})), cc -> {_peel(_subtract('cc[0]', 'cc[1]'), 'level')}), 1)"
     whole = f"array(named_struct('a', {a}, 'b', {b}))"
-    start = f"element_at(transform(array({first}), one -> if({empty.format('one.cells')}, named_struct('todo', slice({whole}, 1, 0), 'n', one.n), named_struct('todo', {whole}, 'n', 0))), 1)"
+    start = f"element_at(transform(array({first}), one -> if({empty.format('one.cells')}, named_struct('todo', slice({whole}, 1, 0), 'found', one.found), named_struct('todo', {whole}, 'found', {_NONE}))), 1)"
     # a stuck group is split by another hash into parts of about GROUP digests, each sketched, subtracted and peeled
     split = lambda side: f"filter(grp.{side}, d -> pmod(xxhash64(d, level), n) = j)"
     parts = f"flatten(transform(state.todo, grp -> flatten(transform(array(greatest(2L, bigint(size(grp.a) + size(grp.b)) div {GROUP})), n -> transform(sequence(0L, n - 1L), j -> named_struct('a', {split('a')}, 'b', {split('b')}))))))"
     results = f"transform({parts}, g -> named_struct('g', g, 'p', {inner}))"
-    return F.expr(
-        f"""aggregate(sequence(1, {RETRIES}), {start}, (state, level) -> if(size(state.todo) = 0, state,
+    alone = lambda x, y, sign: f"transform(array_except(grp.{x}, grp.{y}), k -> named_struct('c', {sign}, 'k', k))"
+    return f"""aggregate(sequence(1, {RETRIES}), {start}, (state, level) -> if(size(state.todo) = 0, state,
           aggregate(array({results}), state, (st, rs) -> named_struct(
             'todo', transform(filter(rs, r -> not {empty.format("r.p.cells")}), r -> r.g),
-            'n', st.n + aggregate(filter(rs, r -> {empty.format("r.p.cells")}), 0, (z, r) -> z + r.p.n)))),
-          state -> state.n + aggregate(state.todo, 0, (z, g) -> z + size(array_except(g.a, g.b)) + size(array_except(g.b, g.a))))"""
-    )
+            'found', concat(st.found, flatten(transform(filter(rs, r -> {empty.format("r.p.cells")}), r -> r.p.found)))))),
+          state -> concat(state.found, flatten(transform(state.todo, grp -> concat({alone("a", "b", "1")}, {alone("b", "a", "-1")})))))"""
+
+
+def sketches(*keys: str) -> Column:
+    """Array of the sketches of several digest arrays."""
+    return F.expr(f"transform(array({', '.join(keys)}), ks -> {_build('ks', '0')})")
+
+
+def differences(sketched: str, *pairs: tuple[int, str, int, str]) -> Column:
+    """Array of ``difference`` of (place in ``sketched``, digests) pairs."""
+    each = ", ".join(f"named_struct('x', {x}, 'y', {y}, 'p', {sketched}[{i}], 'q', {sketched}[{j}])" for i, x, j, y in pairs)
+    return F.expr(f"transform(array({each}), pr -> {difference('pr.x', 'pr.y', 'pr.p', 'pr.q')})")
 
 
 def apart(a: str, b: str) -> Column:
@@ -109,24 +129,42 @@ def likeness(na: Column, nb: Column, diff: Column) -> Column:
     return F.when(na + nb == 0, F.lit(1.0)).otherwise((na + nb - diff) / (na + nb + diff))
 
 
-def cells(keys: str) -> Column:
-    return F.expr(_build(keys, "0"))
-
-
 def as_text(sketch: str) -> Column:
     return F.expr(f"array_join(transform({sketch}, x -> concat_ws(':', hex(x.c), hex(x.k), hex(x.h))), ' ')")
 
 
+def range_bounds(docs: DataFrame, shelf: Shelf) -> tuple[str, int]:
+    """(JSON, number) of the first sort keys of ranges of about equal numbers of documents, from a range partitioning of
+    the narrow keys; one row a range goes to the driver, at most MAX_RANGES."""
+    key = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("u"), F.octet_length("text").alias("n"))
+    narrow = shelf.put(key)
+    total = narrow.agg(F.sum("n")).first()[0] or 0
+    ranges = min(MAX_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_BYTES + 1))
+    first = narrow.repartitionByRange(ranges, "doc_id", "h", "u").groupBy(F.spark_partition_id()).agg(F.min(F.struct("doc_id", "h", "u")).alias("k"))
+    found = first.agg(F.to_json(F.sort_array(F.collect_list("k")), {"ignoreNullFields": "false"}), F.count(F.lit(1))).first()
+    return found[0] or "[]", found[1]
+
+
+def range_of(key: str, bounds: Column, n: int) -> tuple[Column, Column]:
+    """(how many of the ``n`` sorted bounds are not above the column ``key``, by binary search; the column of the bounds)."""
+    step = f"if(acc.lo >= acc.hi, acc, if({{b}}[(acc.lo + acc.hi) div 2] <= {key}, named_struct('lo', int((acc.lo + acc.hi) div 2 + 1), 'hi', acc.hi), named_struct('lo', acc.lo, 'hi', int((acc.lo + acc.hi) div 2))))"
+    bound = "bounds_"
+    search = f"aggregate(sequence(1, {max(1, n).bit_length() + 1}), named_struct('lo', 0, 'hi', {n}), (acc, i) -> {step.format(b=bound)}, acc -> bigint(acc.lo))"
+    return F.expr(search), bounds.alias(bound)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text): adds the digests ``a`` and the next document's ``next_text`` and digests ``b``; the first follows the last."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = max(1.0, ((high or 0) - (low or 0) + 1) / max(1, -(-n // 256)))
-    place = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(width)), F.lit(-1)).cast("long")
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), place.alias("range")).withColumn("a", digests(F.col("text")))
-    w = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    shelf = Shelf(docs.sparkSession, "fingerprints")
+    json, n = range_bounds(docs, shelf)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    search, bounds = range_of("key", F.from_json(F.lit(json), f"array<struct<doc_id:{kind},h:bigint,u:bigint>>"), n)
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("u"))
+    rows = rows.select("doc_id", "text", "h", "u", F.struct("doc_id", "h", "u").alias("key"), bounds).select("doc_id", "text", "h", "u", search.alias("range")).withColumn("a", digests(F.col("text")))
+    w = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "h", "u")
     ranged = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("b", F.lead("a").over(w)).withColumn("nth", F.row_number().over(w))
     # the range after each, over one narrow row a range: inside blocks of 1024 ranges, then between the blocks
-    ranges = checkpoint(rows.select("range").distinct().withColumn("block", F.floor(F.col("range") / 1024)))
+    ranges = shelf.put(rows.select("range").distinct().withColumn("block", F.floor(F.col("range") / 1024)))
     everything = Window.partitionBy(F.lit(0)).orderBy("block")
     blocks = ranges.groupBy("block").agg(F.min("range").alias("first"))
     blocks = blocks.withColumn("after", F.coalesce(F.lead("first").over(everything), F.first("first").over(everything))).drop("first")
@@ -148,12 +186,22 @@ def compare(pairs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     df = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"), "a", "b", "next_text")
     df = df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("edited")).alias("e"), "a", "b", *(pieces(F.col(t)).alias(k) for t, k in (("text", "pa"), ("edited", "pe"), ("next_text", "pb"))))
-    df = df.withColumns({f"s{k}": cells(k) for k in "aeb"})
-    df = df.withColumns({"de": difference("a", "e", "sa", "se"), "db": difference("a", "b", "sa", "sb"), "dpe": apart("pa", "pe"), "dpb": apart("pa", "pb")})
+    df = df.withColumn("sk", sketches("a", "e", "b"))
+    df = df.withColumns({"found": differences("sk", (0, "a", 1, "e"), (0, "a", 2, "b")), "dpe": apart("pa", "pe"), "dpb": apart("pa", "pb")})
+    df = df.withColumns({"sa": F.col("sk")[0], "se": F.col("sk")[1], "de": F.size(F.col("found")[0]), "db": F.size(F.col("found")[1])})
     size = lambda k: F.size(k).cast("double")
     return df.select("doc_id", "n_chars", "edited_sha256", as_text("sa").alias("fingerprint"), as_text("se").alias("edited_fingerprint"), likeness(size("a"), size("e"), F.col("de")).alias("near_edited"), likeness(size("a"), size("b"), F.col("db")).alias("near_next"), likeness(size("pa"), size("pe"), F.col("dpe")).alias("near_edited_pieces"), likeness(size("pa"), size("pb"), F.col("dpb")).alias("near_next_pieces"))
 
 
+def changes(versions: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
+    """Per row of two text columns: ``removed`` and ``added``, the digests of the paragraphs that only one version has,
+    recovered from the difference of the two sketches."""
+    both = versions.select(*(col(c) for c in versions.columns), digests(F.coalesce(col(old), F.lit(""))).alias("_a"), digests(F.coalesce(col(new), F.lit(""))).alias("_b"))
+    both = both.withColumn("_sk", sketches("_a", "_b")).withColumn("_found", differences("_sk", (0, "_a", 1, "_b"))[0])
+    signed = lambda c: F.array_sort(F.transform(F.filter("_found", lambda x: x["c"] == c), lambda x: x["k"]))
+    return both.select(*(col(c) for c in versions.columns), signed(1).alias("removed"), signed(-1).alias("added"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(col("doc_id"), col("text"))
     return compare(with_next(docs))
