@@ -16,7 +16,7 @@ about four words long, and too many for sketches (see ``apart``), so their diges
 
 The next document of each document needs the order of all ids.  Documents are cut into ranges of about equal numbers by
 (id, text hash, row), whose bounds come from a range partitioning of those narrow keys; so outlying, repeated, null or string
-ids make no large range.  Each range is sorted by itself; only the first text of a range goes to the range before it, so
+ids make no large range.  Each range is sorted by itself, with the first document of the next range behind its own, so
 texts are shuffled once.
 
 Defined cases: a null text is empty; a text without a non-empty line has an empty sketch and likeness 1 to another such; equal
@@ -133,13 +133,11 @@ def as_text(sketch: str) -> Column:
     return F.expr(f"array_join(transform({sketch}, x -> concat_ws(':', hex(x.c), hex(x.k), hex(x.h))), ' ')")
 
 
-def range_bounds(docs: DataFrame, shelf: Shelf) -> tuple[str, int]:
+def range_bounds(narrow: DataFrame) -> tuple[str, int]:
     """(JSON, number) of the first sort keys of ranges of about equal numbers of documents, from a range partitioning of
-    the narrow keys; one row a range goes to the driver, at most MAX_RANGES."""
-    key = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("u"), F.octet_length("text").alias("n"))
-    narrow = shelf.put(key)
+    the narrow keys (doc_id, h, u; n: bytes); one row a range goes to the driver, at most MAX_RANGES."""
     total = narrow.agg(F.sum("n")).first()[0] or 0
-    ranges = min(MAX_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_BYTES + 1))
+    ranges = min(MAX_RANGES, max(int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_BYTES + 1))
     first = narrow.repartitionByRange(ranges, "doc_id", "h", "u").groupBy(F.spark_partition_id()).agg(F.min(F.struct("doc_id", "h", "u")).alias("k"))
     found = first.agg(F.to_json(F.sort_array(F.collect_list("k")), {"ignoreNullFields": "false"}), F.count(F.lit(1))).first()
     return found[0] or "[]", found[1]
@@ -156,23 +154,22 @@ def range_of(key: str, bounds: Column, n: int) -> tuple[Column, Column]:
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text): adds the digests ``a`` and the next document's ``next_text`` and digests ``b``; the first follows the last."""
     shelf = Shelf(docs.sparkSession, "fingerprints")
-    json, n = range_bounds(docs, shelf)
+    # written once, so that a row's number is the same whenever it is read
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = shelf.put(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("u"), F.octet_length(text).cast("long").alias("n")))
+    json, n = range_bounds(docs.select("doc_id", "h", "u", "n"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    search, bounds = range_of("key", F.from_json(F.lit(json), f"array<struct<doc_id:{kind},h:bigint,u:bigint>>"), n)
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("u"))
-    rows = rows.select("doc_id", "text", "h", "u", F.struct("doc_id", "h", "u").alias("key"), bounds).select("doc_id", "text", "h", "u", search.alias("range")).withColumn("a", digests(F.col("text")))
-    w = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "h", "u")
-    ranged = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("b", F.lead("a").over(w)).withColumn("nth", F.row_number().over(w))
-    # the range after each, over one narrow row a range: inside blocks of 1024 ranges, then between the blocks
-    ranges = shelf.put(rows.select("range").distinct().withColumn("block", F.floor(F.col("range") / 1024)))
-    everything = Window.partitionBy(F.lit(0)).orderBy("block")
-    blocks = ranges.groupBy("block").agg(F.min("range").alias("first"))
-    blocks = blocks.withColumn("after", F.coalesce(F.lead("first").over(everything), F.first("first").over(everything))).drop("first")
-    links = ranges.withColumn("inside", F.lead("range").over(Window.partitionBy("block").orderBy("range"))).join(blocks, "block")
-    links = links.select("range", F.coalesce("inside", "after").alias("after"))
-    firsts = ranged.filter("nth = 1").select(F.col("range").alias("after"), F.col("text").alias("first_text"), F.col("a").alias("first_a"))
-    ends = ranged.filter("next_text is null").select("range", "doc_id", "text", "a").join(links, "range").join(firsts, "after")
-    return ranged.filter("next_text is not null").select("doc_id", "text", "a", "next_text", "b").unionByName(ends.select("doc_id", "text", "a", F.col("first_text").alias("next_text"), F.col("first_a").alias("b")))
+    given = F.from_json(F.lit(json), f"array<struct<doc_id:{kind},h:bigint,u:bigint>>")
+    search, bounds = range_of("key", given, n)
+    key = [F.lit(0).alias("guest"), "doc_id", "h", "u", "text"]
+    rows = docs.select(*key, F.struct("doc_id", "h", "u").alias("key"), bounds).select("guest", "doc_id", "h", "u", "text", search.alias("range"))
+    # the first document of each range is a guest at the end of the range before it (of the last, if it is the first of all)
+    first = docs.sparkSession.range(1).select(F.posexplode(given).alias("pos", "k")).select(F.col("k.u").alias("u"), F.when(F.col("pos") == 0, F.lit(n)).otherwise(F.col("pos")).cast("long").alias("range"))
+    guests = docs.join(F.broadcast(first), "u").select(F.lit(1).alias("guest"), "doc_id", "h", "u", "text", "range")
+    both = rows.unionByName(guests).withColumn("a", digests(F.col("text")))
+    w = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_first(), "h", "u")
+    ranged = both.withColumn("next_text", F.lead("text").over(w)).withColumn("b", F.lead("a").over(w))
+    return ranged.filter("guest = 0").select("doc_id", "text", "a", "next_text", "b")
 
 
 def compare(pairs: DataFrame) -> DataFrame:
