@@ -10,8 +10,8 @@
 
 Offsets are prefix sums in two levels over range partitions of the narrow rows (source, order key, ids): sums per
 (source, part), then inside a part.  The number of parts grows with the rows, and the row's number is the last sort key, so
-neither a large source nor an id or a row that is repeated without end makes a large group.  Whole documents move twice,
-once to meet their visits and once to their place.
+neither a large source nor an id or a row that is repeated without end makes a large group.  Documents that the mix takes
+move whole twice, once to meet their visits and once to their place; the others stay.
 
 Defined cases: a null text has size 0 and is never taken; null is a source of its own, the last by rank; repeated rows
 are documents of their own; a source of size 0 has target 0; an empty table gives an empty plan; other columns are
@@ -79,7 +79,7 @@ def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Seque
     """
     spark, names = rows.sparkSession, list(rows.columns)
     shelf = shelf or Shelf(spark, "mix-plan")
-    keyed = shelf.put(rows.withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))))
+    keyed = shelf.put(rows.withColumn("_s", _source_key("source")))
     order = ["order_key", *(c for c in ("doc_id", "size", "text_hash", "row") if c in names)]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keyed.count() // PART_ROWS + 1)
     keyed = shelf.put(keyed.repartitionByRange(parts, "_s", *order).withColumn("_p", F.spark_partition_id()))
@@ -87,7 +87,7 @@ def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Seque
     before = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sums = shelf.put(sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))))
     sizes = sums.groupBy("_s").agg(F.sum("n").alias("source_size"), F.first("source").alias("source"))
-    targets = source_targets(sizes.drop("_s"), weights, budget, max_repeats).withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
+    targets = source_targets(sizes.drop("_s"), weights, budget, max_repeats).withColumn("_s", _source_key("source")).drop("source")
     bases = sums.select("_s", "_p", "base").join(targets, "_s")
     inside = Window.partitionBy("_s", "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["_s", "_p"])
@@ -109,39 +109,71 @@ def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Seque
     return out.select(*names, "source_size", "target", taken.alias("taken"), "visits")
 
 
+def _source_key(source: Column | str) -> Column:
+    """The source as a join key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def _order_key(doc_id: str) -> Column:
+    return F.md5(F.coalesce(col(doc_id).cast("string"), F.lit("")).cast("binary"))
+
+
 def _rows(docs: DataFrame, text: str, doc_id: str, source: str, *more: Column) -> DataFrame:
     size = F.coalesce(F.regexp_count(col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.coalesce(col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    return docs.select(col(doc_id).alias("doc_id"), col(source).alias("source"), size.alias("size"), key.alias("order_key"), F.xxhash64(col(text)).alias("text_hash"), *more)
+    return docs.select(col(doc_id).alias("doc_id"), col(source).alias("source"), size.alias("size"), _order_key(doc_id).alias("order_key"), F.xxhash64(col(text)).alias("text_hash"), *more)
 
 
-def mix_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """The mixed corpus: a row for each visit, all columns of ``docs``, range-sorted by training position.
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", row: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(plan, mixed).  ``plan``: a row for each document, see ``mix_plan``, with its ``row``.  ``mixed``: (row, position, doc)
+    for each visit, range-sorted by training position; ``doc`` is a struct of the columns of ``docs`` with the text as taken.
 
-    A document taken in part keeps its first words and the white space between them.
+    A document taken in part keeps its first words and the white space between them.  ``row`` names a column that tells all
+    rows apart and is the same at each reading; without one, the documents are written with a number first.
     """
     shelf = Shelf(docs.sparkSession, "mix")
-    row = free_name(docs, "mix_row")
-    kept = shelf.put(docs.withColumn(row, F.monotonically_increasing_id()))
-    plan = mix_plan(_rows(kept, text, doc_id, source, col(row).alias("row")), shelf=shelf, **options)
-    visits = shelf.put(plan.select("row", "size", "order_key", F.explode("visits").alias("v")).select("row", "size", "order_key", "v.words", "v.position"))
+    kept, names, key = docs, list(docs.columns), row
+    if key is None:
+        key = free_name(docs, "mix_row")
+        kept = shelf.put(docs.withColumn(key, F.monotonically_increasing_id()))
+    plan = shelf.put(mix_plan(_rows(kept, text, doc_id, source, col(key).alias("row")), shelf=shelf, **options))
+    visits = shelf.put(plan.select("row", "size", F.xxhash64("order_key").alias("tie"), F.explode("visits").alias("v")).select("row", "size", "tie", "v.words", "v.position"))
     # the narrow visits are range-sorted first, so whole documents go straight to their partition
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(parts, visits.count() // PART_ROWS + 1)
-    visits = visits.repartitionByRange(parts, "position", "order_key", "row").withColumn("part", F.spark_partition_id())
-    each = visits.groupBy("row").agg(F.first("size").alias("size"), F.collect_list(F.struct("position", "order_key", "words", "part")).alias("visits"))  # at most max_repeats
-    whole = kept.select(F.struct(*(col(c) for c in docs.columns)).alias("doc"), col(row).alias("row"))
+    visits = visits.repartitionByRange(parts, "position", "tie", "row").withColumn("part", F.spark_partition_id())
+    each = visits.groupBy("row").agg(F.first("size").alias("size"), F.collect_list(F.struct("position", "tie", "words", "part")).alias("visits"))  # at most max_repeats
+    # documents behind the last that a source's target reaches stay where they are
+    last = plan.filter(F.size("visits") > 0).groupBy(_source_key("source").alias("_s")).agg(F.max("order_key").alias("last"))
+    whole = kept.select(F.struct(*(col(c) for c in names)).alias("doc"), col(key).alias("row"), _source_key(col(source)).alias("_s"), _order_key(doc_id).alias("order_key"))
+    whole = whole.join(F.broadcast(last), "_s").filter("order_key <= last").select("doc", "row")
     v = whole.join(each, "row").select("doc", "size", "row", F.explode("visits").alias("v"))
     body = F.when(F.col("v.words") == F.col("size"), F.col("doc").getField(text)).otherwise(
         F.array_join(F.slice(F.regexp_extract_all(F.col("doc").getField(text), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("v.words").cast("int")), "")
     )
-    v = v.repartitionById(parts, F.col("v.part")).sortWithinPartitions("v.position", "v.order_key", "row")
-    return v.select(*((body if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns))
+    v = v.repartitionById(parts, F.col("v.part")).sortWithinPartitions("v.position", "v.tie", "row")
+    doc = F.struct(*((body if c == text else F.col("doc").getField(c)).alias(c) for c in names))
+    return plan, v.select("row", F.col("v.position").alias("position"), doc.alias("doc"))
+
+
+def mix_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The mixed corpus: a row for each visit, all columns of ``docs``, range-sorted by training position."""
+    mixed = mix(docs, text, doc_id, source, **options)[1]
+    return mixed.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mix_plan(_rows(read(spark, sf_dir, "documents"), "text", "doc_id", "source"))
-    return plan.select("doc_id", "size", "source", "source_size", "target", "taken", F.round(F.get("visits", F.lit(0)).getField("position"), 6).alias("first_position"))
+    """Words taken and first position as counted in the mixed, range-sorted texts themselves."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
+    # a file's number and a row's place in its file are the same at each reading; one row a file is sorted in one task
+    files = docs.select("path").distinct().select("path", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")).alias("file"))
+    files = Shelf(spark, "mix-files").put(files)
+    docs = docs.join(F.broadcast(files), "path").select("doc_id", "text", "source", (F.shiftleft(F.col("file").cast("long"), 40) + F.col("at")).alias("row"))
+    plan, mixed = mix(docs, row="row")
+    # numbered behind the sort, which so can't be left out of the plan
+    mixed = mixed.select("row", "position", F.regexp_count("doc.text", F.lit(WORD)).alias("words"), F.monotonically_increasing_id().alias("place"))
+    got = mixed.groupBy("row").agg(F.sum("words").cast("long").alias("taken"), F.min_by("position", "place").alias("first"))
+    out = plan.drop("taken", "visits").join(got, "row", "left")
+    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.round("first", 6).alias("first_position"))
 
 
 def plan_sql(table: str, prefix: str = "") -> str:
