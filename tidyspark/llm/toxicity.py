@@ -9,7 +9,8 @@ clean word can collide with a toxic one.
 ``categories`` are 0/1 label columns in chain order; the last one is the verdict.  The labels table marks quality and
 toxicity, so the query's chain is low_quality, then toxic.
 
-The fit uses a bounded sample of labelled rows (``per_class`` rows a pattern of labels, ``SAMPLE_BYTES`` of text in all, one text an id); scoring covers every row and whole texts.
+The fit uses a bounded sample of labelled rows (``per_class`` rows a pattern of labels, ``SAMPLE_BYTES`` of text in all, one text an id); scoring covers every row and whole texts, in Arrow
+batches bounded in bytes (``bound_batches``, which sets the limit for the session).
 
 Defined cases: null and empty texts have no feature and get the bias; a row without a label in some category isn't
 learned from; without labels, or with one class only, a category's probability is its share of ones (0 without labels);
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, col, free_name, labelled_texts, read
+from .common import bound_batches, bounded_sample, col, free_name, labelled_texts, read
 from .textvec import NOT_LETTER, Batch, chunks
 
 CATEGORIES = ("low_quality", "toxic")
@@ -172,12 +173,14 @@ def chain(model: ChainModel, text: Column, categories: Sequence[str] = CATEGORIE
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The documents whose last category stays below the threshold, with all their columns."""
+    bound_batches(docs.sparkSession)
     model, p = train(docs, labels, text), free_name(docs, "toxicity")
     return docs.withColumn(p, chain(model, col(text))).filter(col(p).getField("toxic") < threshold).select(*(col(c) for c in docs.columns))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    bound_batches(spark)
     model = train(docs, read(spark, sf_dir, "labels"))
     out = docs.select("doc_id", chain(model, F.col("text")).alias("p"))
     return out.select("doc_id", F.col("p.low_quality").alias("low_quality_score"), F.col("p.toxic").alias("score"), (F.col("p.toxic") >= THRESHOLD).alias("toxic"))
