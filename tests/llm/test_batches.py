@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidyspark.llm import common, toxicity
+from tidyspark.llm import common, neardup, toxicity
 from tidyspark.llm.queries import QUERIES
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -35,6 +35,25 @@ def test_toxicity_query_bounds_its_batches(unbounded):
     assert int(unbounded.conf.get(KEY)) == common.BATCH_BYTES
 
 
+def test_near_duplicates_describes_long_texts_in_small_batches(unbounded, monkeypatch):
+    limit, describe = 2 * common.BATCH_BYTES, neardup._describe
+
+    def checked(max_ratio):
+        run = describe(max_ratio)
+
+        def small(batches):
+            for batch in batches:
+                if batch.nbytes > limit:
+                    raise ValueError(f"a batch of {batch.nbytes} bytes")
+                yield from run(iter([batch]))
+
+        return small
+
+    monkeypatch.setattr(neardup, "_describe", checked)
+    kept = neardup.keep_one(_large(unbounded))
+    assert [r.doc_id for r in kept.collect()] == [0]
+
+
 def test_a_limit_of_the_session_stays(unbounded):
     unbounded.conf.set(KEY, "1000000")
     common.bound_batches(unbounded)
