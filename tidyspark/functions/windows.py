@@ -8,6 +8,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..plans.expr import Func, function, wrap
+from ..plans.tbl import sort_column
 
 
 class Descending:
@@ -24,8 +25,8 @@ def ordering(ctx, e) -> Column:
     """Sort column of an expression; missing values come last either way."""
     e = wrap(e)
     if isinstance(e, Func) and e.name == "desc":
-        return _leveled(ctx, e.children[0]).desc_nulls_last()
-    return _leveled(ctx, e).asc_nulls_last()
+        return sort_column(_leveled(ctx, e.children[0]), descending=True)
+    return sort_column(_leveled(ctx, e))
 
 
 def _leveled(ctx, e) -> Column:

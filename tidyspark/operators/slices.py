@@ -1,6 +1,6 @@
 """Rows by position, rank or chance, per group.
 
-Ungrouped heads and tops without ties are planned as a limit; grouped ones as ``rank <= n``, which Spark cuts before the
+Ungrouped heads, tails and tops without ties are planned as a limit; grouped ones as ``rank <= n``, which Spark cuts before the
 shuffle (WindowGroupLimit).
 """
 
@@ -105,6 +105,8 @@ def slice_tail(tbl: Tbl, n: int | None = None, prop: float | None = None) -> Tbl
     if tbl.kind == "rowwise":
         return tbl
     out = tbl.ordinal()
+    if not tbl.groups and prop is None and (n or 1) >= 0 and (back := out.reverse_columns()) is not None:
+        return tbl.regroup(clean(out.df.orderBy(*back).limit(1 if n is None else n), tbl.columns))
     df = _sized(tbl, out.df.withColumn("__at__", F.row_number().over(_window(out, out.order_columns()))))
     return tbl.regroup(clean(df.where(F.col("__at__") > F.col("__size__") - _amount(n, prop)), tbl.columns))
 

@@ -19,6 +19,13 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def sort_column(c: Column, descending: bool = False) -> Column:
+    """Sort column with missing values last, which knows its opposite."""
+    out = c.desc_nulls_last() if descending else c.asc_nulls_last()
+    out.__dict__["opposite"] = c.asc_nulls_first() if descending else c.desc_nulls_first()
+    return out
+
+
 @dataclass(frozen=True)
 class Fct:
     """A bound factor: value column and levels."""
@@ -70,6 +77,13 @@ class Tbl:
             return [quoted(ORDINAL)]
         raise ValueError("this operation needs a row order: arrange() first")
 
+    def reverse_columns(self) -> list[Column] | None:
+        """The opposite of ``order_columns``; None if a sort column doesn't know its own."""
+        out = [c.__dict__.get("opposite") for c in self.order]
+        if any(c is None for c in out):
+            return None
+        return [*out, *([quoted(ORDINAL).desc()] if ORDINAL in self.df.columns else [])]
+
     def levels(self, name: str) -> list | None:
         meta = self.df.schema[name].metadata
         return list(meta["levels"]) if "levels" in meta else None
