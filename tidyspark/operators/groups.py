@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.aggregates import n as n_
 from ..functions.aggregates import sum_
-from ..plans.expr import AGG, Expr, Lit, Ref, wrap
+from ..functions.quantiles import group_quantiles
+from ..plans.expr import AGG, WIN, Expr, Lit, Ref, wrap
 from ..plans.select import resolve
-from ..plans.tbl import ORDINAL, Ctx, Fct, Tbl, clean, name_of, quoted, verb
+from ..plans.tbl import ORDINAL, Ctx, Fct, Tbl, clean, name_of, quoted, sort_column, verb
 from .columns import _args, arrange, mutate
 
 
@@ -42,7 +45,7 @@ def group_by(tbl: Tbl, *args, _add: bool = False, _drop: bool | None = None, _so
         raise KeyError(f"no columns {gone}")
     keys = list(dict.fromkeys([*(tbl.groups if _add else ()), *keys]))
     df = cur.df.na.drop("any", subset=keys) if _dropna and keys else cur.df
-    order = tuple(quoted(k).asc_nulls_last() for k in keys) if _sort else tbl.order
+    order = tuple(sort_column(quoted(k)) for k in keys) if _sort else tbl.order
     return Tbl(df, tuple(keys), "grouped" if keys else "plain", order, tbl.drop if _drop is None else _drop)
 
 
@@ -84,14 +87,23 @@ def _summary(tbl: Tbl, args, kwargs) -> tuple[DataFrame, list[str], list[str]]:
         ctx = Ctx(tbl, "rowwise")
         cols = [(name, ctx.bind(e if isinstance(e, Expr) else Lit(e))) for name, e in items]
         return tbl.df.select(*(quoted(g) for g in tbl.groups), *(c.alias(n) for n, c in cols)), [n for n, _ in cols], []
-    first, later, levels, arrays, done = [], [], {}, [], set()
+    first, later, levels, arrays, done, quantiles = [], [], {}, [], set(), []
     ctx = Ctx(tbl, "agg")
     for name, e in items:
         node = e if isinstance(e, Expr) else Lit(e)
         if isinstance(e, (list, tuple)):
             arrays.append(name)
+        hoisted = [] if node.refs() & done else _hoist(node, tbl, len(first) + len(quantiles))
         if node.refs() & done:
             later.append((name, node))
+        elif hoisted:
+            rest, made = hoisted
+            later.append((name, rest))
+            for hidden, a in made:
+                if _quantile(a, tbl) is not None:
+                    quantiles.append((hidden, a))
+                else:
+                    first.append((hidden, ctx.bind(a)))
         else:
             value = node.bind(ctx)
             if isinstance(value, Fct):
@@ -105,7 +117,11 @@ def _summary(tbl: Tbl, args, kwargs) -> tuple[DataFrame, list[str], list[str]]:
         done.add(name)
     df = ctx.tbl.df
     keys = [quoted(g) for g in tbl.groups]
+    source = df
+    if quantiles and not first:
+        first.append(("__rows__", F.count(F.lit(1))))
     df = df.groupBy(*keys).agg(*(c.alias(n) for n, c in first)) if first else df.select(*keys).distinct()
+    df = _with_quantiles(df, source, tbl.groups, quantiles, ctx)
     post = Ctx(Tbl(df, tbl.groups, "rowwise"), "rowwise")
     for name, node in later:
         df = df.withColumn(name, post.bind(node))
@@ -119,6 +135,58 @@ def _summary(tbl: Tbl, args, kwargs) -> tuple[DataFrame, list[str], list[str]]:
     return df, names, [a for a in dict.fromkeys(arrays) if a in names]
 
 
+def _quantile(e, tbl: Tbl):
+    """The probabilities of a quantile() or median() of numbers of the table's rows; else nothing."""
+    from ..plans.expr import Func
+
+    if not (isinstance(e, Func) and e.kind == AGG and e.name in ("quantile", "median") and len(e.children) == 1) or e.children[0].has(AGG, WIN) or tbl.df.isStreaming:
+        return None
+    kind = tbl.df.select(Ctx(tbl, "agg").bind(e.children[0]).alias("x")).schema["x"].dataType
+    if not isinstance(kind, T.NumericType):
+        return None
+    probs = 0.5 if e.name == "median" else e.options.get("probs", (0.0, 0.25, 0.5, 0.75, 1.0))
+    return float(probs) if isinstance(probs, (int, float)) else [float(p) for p in probs]
+
+
+def _hoist(node: Expr, tbl: Tbl, at: int) -> tuple[Expr, list[tuple[str, Expr]]] | None:
+    """An expression with a quantile, its aggregates put aside as columns of their own; nothing for others."""
+    from ..plans.expr import Func
+
+    made: list[tuple[str, Expr]] = []
+
+    def walk(e):
+        if not isinstance(e, Expr) or not e.has(AGG):
+            return e
+        if isinstance(e, Func) and e.kind == AGG:
+            made.append((f"__h{at}_{len(made)}__", e))
+            return Ref(made[-1][0])
+        out = copy(e)
+        out.children = tuple(map(walk, e.children))
+        return out
+
+    rest = walk(node)
+    if not any(_quantile(a, tbl) is not None for _, a in made) or rest.refs() - {n for n, _ in made} - set(tbl.groups):
+        return None
+    return rest, made
+
+
+def _with_quantiles(df: DataFrame, source: DataFrame, groups: tuple[str, ...], quantiles: list, ctx: Ctx) -> DataFrame:
+    """Adds the quantiles of the source's groups; those of one column are found together."""
+    by_column: dict = {}
+    for name, e in quantiles:
+        x = e.children[0]
+        by_column.setdefault(x.name if isinstance(x, Ref) else id(x), (x, {}))[1][name] = _quantile(e, ctx.tbl)
+    for x, wanted in by_column.values():
+        found = group_quantiles(source, list(groups), ctx.bind(x), wanted)
+        found = found.select(*(quoted(g).alias(f"__g{i}__") for i, g in enumerate(groups)), *wanted)
+        if groups:
+            same = reduce(Column.__and__, [quoted(g).eqNullSafe(F.col(f"__g{i}__")) for i, g in enumerate(groups)])
+            df = df.join(found, same, "left").drop(*(f"__g{i}__" for i in range(len(groups))))
+        else:
+            df = df.crossJoin(F.broadcast(found))
+    return df
+
+
 def _is_vector(e) -> bool:
     from ..plans.expr import Func
 
